@@ -4,7 +4,8 @@ The queue has a bucket for each merge rank that is wanted just now; a bucket hol
 left halves in the linked list of parts. Three levels of bitmaps say which buckets are filled, so the
 next rank is three find-first-set steps away, whatever the length of the piece. Positions whose pair
 has changed since they were queued are stale and are skipped. Encoding a piece of n bytes takes
-O(n) queue steps (a bucket is sorted once, when it is drained).
+O(n) queue steps (a bucket is sorted once, when it is drained). The distinct pieces of a stretch of text
+are encoded together, in one list and one queue.
 
 Results for odd input: null text counts as empty and has no ids; an empty table gives an empty
 table; texts of any length are taken whole; rows that share an id are encoded each on its own.
@@ -17,6 +18,7 @@ import hashlib
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import text_of
 
 #: Distinct pieces that a Python worker remembers, and the longest piece that it does.
-CACHE_PIECES, CACHE_LENGTH = 300_000, 48
+CACHE_PIECES, CACHE_LENGTH = 400_000, 48
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -35,7 +37,10 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class RankQueue:
-    """Positions by rank; ``drain`` empties the bucket of the lowest rank."""
+    """Positions by rank; ``drain`` empties the bucket of the lowest rank.
+
+    ``low`` has a bit for each rank, ``mid`` for each word of ``low``, ``top`` for each word of ``mid``.
+    """
 
     __slots__ = ("buckets", "low", "mid", "top")
 
@@ -45,12 +50,9 @@ class RankQueue:
         self.mid: dict[int, int] = {}
         self.top = 0
 
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            bucket.append(position)
-            return
-        self.buckets[rank] = [position]
+    def open(self, rank: int, positions: list[int]) -> None:
+        """A bucket for a rank that has none."""
+        self.buckets[rank] = positions
         word, block = rank >> 6, rank >> 12
         self.low[word] = self.low.get(word, 0) | 1 << (rank & 63)
         self.mid[block] = self.mid.get(block, 0) | 1 << (word & 63)
@@ -73,50 +75,94 @@ class RankQueue:
         return rank, self.buckets.pop(rank)
 
 
-def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of one match of the pattern: always the lowest rank, at its leftmost place, merges first."""
-    whole = ranks.get(piece)
-    if whole is not None:
-        return [whole]
-    n = len(piece)
-    get = ranks.get
-    queue = RankQueue()
-    push = queue.push
-    for i in range(n - 1):
-        rank = get(piece[i : i + 2])
-        if rank is not None:
-            push(rank, i)
-    end = list(range(1, n + 1))  # part i covers piece[i:end[i]]; 0 once it is merged away
-    previous = list(range(-1, n))
-    while queue.top:
-        rank, positions = queue.drain()
-        if len(positions) > 1:
-            positions.sort()
-        for i in positions:
-            middle = end[i]
-            if not middle or middle == n:
-                continue
-            stop = end[middle]
-            if get(piece[i:stop]) != rank:
-                continue
-            end[i] = stop
-            end[middle] = 0
-            if stop < n:
-                previous[stop] = i
-                after = get(piece[i : end[stop]])
-                if after is not None:
-                    push(after, i)
-            before = previous[i]
-            if before >= 0:
-                joined = get(piece[before:stop])
-                if joined is not None:
-                    push(joined, before)
-    ids = []
-    i = 0
-    while i < n:
-        ids.append(ranks[piece[i : end[i]]])
-        i = end[i]
-    return ids
+class Merges:
+    """A vocabulary's ranks, ready for merging parts by id."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.ranks = ranks
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)])
+        #: For two parts' ids, the rank of the token that they join to.
+        self.joined: dict[int, int] = {}
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    self.joined[left << 24 | right] = rank
+        #: The same for two bytes; -1 where there is none.
+        self.two = np.full((256, 256), -1)
+        for token, rank in ranks.items():
+            if len(token) == 2:
+                self.two[token[0], token[1]] = rank
+
+    def encode(self, pieces: list[bytes]) -> list[list[int]]:
+        """The ids of each piece: in each, the lowest rank, at its leftmost place, merges first.
+
+        All pieces share one linked list (with a break after each) and one queue: what a piece merges
+        depends on its own ranks alone, so that the order among pieces is free.
+        """
+        whole = [self.ranks.get(p) for p in pieces]
+        rest = [p for p, w in zip(pieces, whole) if w is None]
+        found = iter(self._merge([p for p in rest if p]))
+        return [[w] if w is not None else next(found) if p else [] for p, w in zip(pieces, whole)]
+
+    def _merge(self, pieces: list[bytes]) -> list[list[int]]:
+        if not pieces:
+            return []
+        raw = np.frombuffer(b"".join(pieces), np.uint8)
+        ends = np.cumsum([len(p) for p in pieces])
+        wanted = np.full(len(raw), -1)
+        wanted[:-1] = self.two[raw[:-1], raw[1:]]
+        wanted[ends - 1] = -1
+        following = np.arange(1, len(raw) + 1)
+        following[ends - 1] = -1
+        preceding = np.arange(-1, len(raw) - 1)
+        preceding[np.append(0, ends[:-1])] = -1
+        queue = RankQueue()
+        buckets, start_bucket, joined = queue.buckets, queue.open, self.joined.get
+        at = np.flatnonzero(wanted >= 0)
+        at = at[np.argsort(wanted[at], kind="stable")]
+        cuts = np.flatnonzero(np.diff(wanted[at])) + 1
+        for group in np.split(at, cuts) if len(at) else ():
+            start_bucket(int(wanted[group[0]]), group.tolist())
+        want, nxt, prv, ids = wanted.tolist(), following.tolist(), preceding.tolist(), self.byte_ids[raw].tolist()
+        while queue.top:
+            rank, positions = queue.drain()
+            if len(positions) > 1:
+                positions.sort()
+            for i in positions:
+                if want[i] != rank:  # stale
+                    continue
+                j = nxt[i]
+                k = nxt[j]
+                ids[i], nxt[i], want[i], want[j] = rank, k, -1, -1
+                if k >= 0:
+                    prv[k] = i
+                    r = joined(rank << 24 | ids[k])
+                    if r is not None:
+                        want[i] = r
+                        if r in buckets:
+                            buckets[r].append(i)
+                        else:
+                            start_bucket(r, [i])
+                h = prv[i]
+                if h >= 0:
+                    r = joined(ids[h] << 24 | rank)
+                    if r is None:
+                        want[h] = -1
+                    else:
+                        want[h] = r
+                        if r in buckets:
+                            buckets[r].append(h)
+                        else:
+                            start_bucket(r, [h])
+        out = []
+        for i in [0, *ends[:-1].tolist()]:
+            own = []
+            while i >= 0:
+                own.append(ids[i])
+                i = nxt[i]
+            out.append(own)
+        return out
 
 
 class Codec:
@@ -125,35 +171,40 @@ class Codec:
     def __init__(self, path: str, pattern: str) -> None:
         import regex
 
-        self.ranks = load_ranks(path)
-        self.tokens = {rank: token for token, rank in self.ranks.items()}
+        self.merges = Merges(load_ranks(path))
+        self.tokens = {rank: token for token, rank in self.merges.ranks.items()}
         self.split = regex.compile(pattern).findall
         self.pieces: dict[str, tuple[int, str, bytes]] = {}
 
     def encode(self, text: str) -> list[int]:
-        return [i for piece in self.split(text) for i in encode_piece(piece.encode(), self.ranks)]
+        pieces = self.split(text)
+        distinct = list(dict.fromkeys(pieces))
+        ids = dict(zip(distinct, self.merges.encode([p.encode() for p in distinct])))
+        return [i for p in pieces for i in ids[p]]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
-    def _entry(self, piece: str) -> tuple[int, str, bytes]:
-        ids = encode_piece(piece.encode(), self.ranks)
-        entry = (len(ids), " ".join(map(str, ids)), self.decode(ids))
-        if len(piece) <= CACHE_LENGTH:
-            if len(self.pieces) >= CACHE_PIECES:
-                self.pieces.clear()
-            self.pieces[piece] = entry
-        return entry
-
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of the ids as text, SHA-256 of the decoded bytes."""
-        get, entry = self.pieces.get, self._entry
-        found = [get(p) or entry(p) for p in self.split(text)]
-        if not found:
-            empty = hashlib.sha256(b"").hexdigest()
-            return 0, empty, empty
-        counts, ids, raw = zip(*found)
-        return sum(counts), hashlib.sha256(" ".join(ids).encode()).hexdigest(), hashlib.sha256(b"".join(raw)).hexdigest()
+    def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        """For each text: number of ids, SHA-256 of the ids as text, SHA-256 of the decoded bytes."""
+        split = [self.split(t) for t in texts]
+        known = self.pieces
+        new = list({p for pieces in split for p in pieces if p not in known})
+        entries = {p: (len(ids), " ".join(map(str, ids)), self.decode(ids)) for p, ids in zip(new, self.merges.encode([p.encode() for p in new]))}
+        out = []
+        for pieces in split:
+            if not pieces:
+                out.append((0, _EMPTY, _EMPTY))
+                continue
+            counts, ids, raw = zip(*[known.get(p) or entries[p] for p in pieces])
+            out.append((sum(counts), hashlib.sha256(" ".join(ids).encode()).hexdigest(), hashlib.sha256(b"".join(raw)).hexdigest()))
+        if len(known) > CACHE_PIECES:
+            known.clear()
+        known.update((p, e) for p, e in entries.items() if len(p) <= CACHE_LENGTH)
+        return out
+
+
+_EMPTY = hashlib.sha256(b"").hexdigest()
 
 
 @cache
@@ -161,6 +212,18 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
+def _parts(values, chars: int = 1 << 20) -> Iterator[list[str]]:
+    part, size = [], 0
+    for value in values:
+        part.append(value.as_py())
+        size += len(part[-1])
+        if size >= chars:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, ids (array of int): the ids of every whole text."""
 
@@ -191,7 +254,7 @@ def encoding_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
-            rows = [own.digest(t.as_py()) for t in batch.column(1)]
+            rows = [row for part in _parts(batch.column(1)) for row in own.digests(part)]
             n, ids, raw = zip(*rows) if rows else ((), (), ())
             arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(raw, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
