@@ -11,7 +11,7 @@ Equal texts are one class before anything is compared. Coordinates are banded; d
 band are candidates, and a pair is a link only if the similarity of the shingles themselves reaches the
 threshold. With 20 bands of 4, a pair at 0.8 shares no band with a probability of 3 in 100,000. Buckets of up to
 ``SMALL`` members compare all; in larger ones, each member is compared with the lowest id, and those
-that this doesn't link meet again in buckets of two bands. Classes are the connected components.
+that this doesn't link meet again in buckets of two bands at most five apart (any four common bands hold such two). Classes are the connected components.
 
 Results for odd input: null counts as empty; texts without words are similar to equal texts only;
 texts of one to four words have one shingle, all their words; rows that share a text are one class, and
@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import text_of, written
 
 WORDS, THRESHOLD, BANDS, ROWS, SMALL = 5, 0.8, 20, 4, 16
+#: Any four of 20 bands hold two that are at most five apart, counted around.
+NEXT = 5
 #: log2 of the lowest strip's upper rank.
 _FIRST_STRIP = -9
 #: Bytes of text that are worked on at once.
@@ -152,30 +154,37 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) + len(b) > both else 0.0
 
 
+def _chunks(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    start, size = 0, 0
+    for i, text in enumerate(batch.column(column)):
+        size += len(text.as_py())
+        if size >= _CHUNK:
+            yield batch.slice(start, i + 1 - start)
+            start, size = i + 1, 0
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def _sketch(words: int, bands: int, rows: int):
-    def chunks(batch: pa.RecordBatch):
-        start, size = 0, 0
-        for i, text in enumerate(batch.column(2)):
-            size += len(text.as_py())
-            if size >= _CHUNK:
-                yield batch.slice(start, i + 1 - start)
-                start, size = i + 1, 0
-        if start < batch.num_rows:
-            yield batch.slice(start)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (p for batch in batches for p in _chunks(batch, 2)):
+            found = shingles([t.encode() for t in part.column(2).to_pylist()], words)
+            sets = [np.unique(s, return_counts=True) for s in found if len(s)]
+            hashes = np.empty((0, bands), np.int64)
+            if sets:
+                hashes = band_hashes(signatures(sets, bands * rows), bands, rows).view(np.int64)
+            sizes = np.array([bands * bool(len(s)) for s in found])
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(offsets, pa.array(hashes.ravel(), pa.int64()))], ["doc_id", "digest", "bands"])
+
+    return run
+
 
+def _grams(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in chunks(batch):
-                found = shingles([t.encode() for t in part.column(2).to_pylist()], words)
-                some = [k for k, s in enumerate(found) if len(s)]
-                hashes = np.empty((0, bands), np.int64)
-                if some:
-                    sets = [np.unique(found[k], return_counts=True) for k in some]
-                    hashes = band_hashes(signatures(sets, bands * rows), bands, rows).view(np.int64)
-                sizes = np.array([bands * bool(len(s)) for s in found])
-                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
-                grams = pa.array([(s >> np.uint64(32)).astype("<u4").tobytes() for s in found], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(offsets, pa.array(hashes.ravel(), pa.int64())), grams], ["doc_id", "digest", "bands", "grams"])
+        for part in (p for batch in batches for p in _chunks(batch, 1)):
+            found = shingles([t.encode() for t in part.column(1).to_pylist()], words)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([(s >> np.uint64(32)).astype("<u4").tobytes() for s in found], pa.binary())], ["rep", "grams"])
 
     return run
 
@@ -200,16 +209,27 @@ def _links(pairs: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(threshold), "a long, b long")
 
 
-def _bucket_pairs(rows: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Pairs to compare, and the (key, rep, least) rows of large buckets."""
-    sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least")).where("n > 1")
-    sized = rows.join(sizes, key)
+def _needed(rows: DataFrame, column: str, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``column`` may be among ``wanted``: a Bloom filter of 65,536 words, at any size, spares the others a shuffle."""
+    place = lambda c: [F.xxhash64(c).bitwiseAND(0xFFFF).alias("_word"), F.shiftright(F.xxhash64(c), 16).bitwiseAND(63).cast("int").alias("_bit")]
+    bit = F.expr("shiftleft(1L, _bit)")
+    words = wanted.select(*place(key)).groupBy("_word").agg(F.bit_or(bit).alias("_bits"))
+    return rows.select("*", *place(column)).join(F.broadcast(words), "_word").where(F.col("_bits").bitwiseAND(bit) != 0).select(*rows.columns)
+
+
+def _buckets(rows: DataFrame) -> DataFrame:
+    """key, rep, n, least of the rows (key, rep) whose bucket has several members."""
+    sizes = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least")).where("n > 1"), "buckets")
+    return written(_needed(rows, "key", sizes, "key").join(sizes, "key"), "members")
+
+
+def _pairs(members: DataFrame) -> DataFrame:
+    """Pairs to compare: all of small buckets, each with the lowest id in large ones."""
     # The filter bounds the lists: at most SMALL ids each.
-    few = sized.where(F.col("n") <= SMALL).groupBy(*key).agg(F.sort_array(F.collect_list("rep")).alias("m"))
+    few = members.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("rep")).alias("m"))
     inside = few.select(F.posexplode("m").alias("i", "a"), "m").select("a", F.explode(F.expr("slice(m, i + 2, size(m))")).alias("b"))
-    large = sized.where(F.col("n") > SMALL)
-    stars = large.where("rep > least").select(F.col("least").alias("a"), F.col("rep").alias("b"))
-    return inside.unionByName(stars), large.select(*key, "rep", "least")
+    stars = members.where((F.col("n") > SMALL) & (F.col("rep") > F.col("least"))).select(F.col("least").alias("a"), F.col("rep").alias("b"))
+    return inside.unionByName(stars).distinct()
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -231,18 +251,11 @@ def connected(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _needed(grams: DataFrame, ids: DataFrame) -> DataFrame:
-    """The grams rows whose ``rep`` may be among ``ids``: a Bloom filter of 65,536 words, at any size, spares the others a shuffle."""
-    place = lambda c: [(F.xxhash64(c).bitwiseAND(0xFFFF)).alias("_word"), F.shiftright(F.xxhash64(c), 16).bitwiseAND(63).cast("int").alias("_bit")]
-    bit = F.expr("shiftleft(1L, _bit)")
-    words = ids.select(*place("id")).groupBy("_word").agg(F.bit_or(bit).alias("_bits"))
-    return grams.select("*", *place("rep")).join(F.broadcast(words), "_word").where(F.col("_bits").bitwiseAND(bit) != 0).select("rep", "grams")
-
-
-def _verified(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
-    pairs = written(pairs.distinct(), "pairs")
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    grams = _needed(sketches.select(F.col("doc_id").alias("rep"), "grams"), ids).join(ids, F.col("rep") == F.col("id"), "left_semi").dropDuplicates(["rep"])
+def _verified(pairs: DataFrame, keyed: DataFrame, words: int, threshold: float) -> DataFrame:
+    pairs = written(pairs, "pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = _needed(keyed.select(F.col("doc_id").alias("rep"), "text"), "rep", ids, "id")
+    grams = texts.mapInArrow(_grams(words), "rep long, grams binary").dropDuplicates(["rep"]).join(ids, F.col("rep") == F.col("id"), "left_semi")
     return written(_links(pairs, written(grams, "grams"), threshold), "links")
 
 
@@ -250,21 +263,20 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
     """A row per document: doc_id, class_id, links (of its text to other texts), kept (class_id is its id)."""
     text = text_of()
     keyed = docs.select(F.col("doc_id").cast("long"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"), text.alias("text"))
-    sketches = written(keyed.mapInArrow(_sketch(words, bands, rows), "doc_id long, digest binary, bands array<long>, grams binary"), "sketches")
+    sketches = written(keyed.mapInArrow(_sketch(words, bands, rows), "doc_id long, digest binary, bands array<long>"), "sketches")
     reps = written(sketches.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "reps")
-    banded = reps.where("rep IS NOT NULL AND size(bands) > 0").select("rep", F.posexplode("bands").alias("band", "hash"))
-    pairs, large = _bucket_pairs(banded, ["band", "hash"])
-    links = _verified(pairs, sketches, threshold)
-    # Members of large buckets that aren't like the lowest id meet again where a second band agrees, too.
-    rest = large.where("rep > least").join(links.select(F.col("a").alias("least"), F.col("b").alias("rep")), ["least", "rep"], "left_anti").select("rep", "band", "hash")
-    second = banded.select("rep", F.col("band").alias("band2"), F.col("hash").alias("hash2"))
-    again = rest.join(second, "rep").where("band2 <> band").select("band", "hash", "band2", "hash2", "rep")
-    more, _ = _bucket_pairs(written(again, "again"), ["band", "hash", "band2", "hash2"])
-    links = links.unionByName(_verified(more.join(links, ["a", "b"], "left_anti"), sketches, threshold))
+    filled = reps.where("rep IS NOT NULL AND size(bands) > 0")
+    members = _buckets(filled.select(F.explode("bands").alias("key"), "rep"))  # a band's hash holds its number
+    links = _verified(_pairs(members), keyed, words, threshold)
+    # Members of large buckets that aren't like the lowest id meet again where one of the next NEXT bands agrees, too.
+    rest = members.where((F.col("n") > SMALL) & (F.col("rep") > F.col("least"))).join(links.select(F.col("a").alias("least"), F.col("b").alias("rep")), ["least", "rep"], "left_anti")
+    at = F.array_position("bands", F.col("key")).cast("int") - 1
+    again = rest.join(filled, "rep").withColumn("_at", at).select("rep", F.explode(F.array(*[F.xxhash64("key", F.get("bands", (F.col("_at") + d) % bands)) for d in range(1, NEXT + 1)])).alias("key"))
+    more = _pairs(_buckets(again)).join(links, ["a", "b"], "left_anti")
+    links = links.unionByName(_verified(more, keyed, words, threshold))
     roots = connected(links)
-    degree = links.distinct().select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
-    # Only texts with links are in the (small) tables of roots and degrees.
+    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
     texts = reps.select("digest", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
     classes = texts.select("digest", F.coalesce("root", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
-    members = sketches.select("doc_id", "digest").join(classes, "digest")
-    return members.select("doc_id", "class_id", "links", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    found = sketches.select("doc_id", "digest").join(classes, "digest")
+    return found.select("doc_id", "class_id", "links", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))

@@ -104,12 +104,13 @@ def learn_profiles(labelled: DataFrame, size: int = PROFILE_SIZE, training_docs:
     They are fitted on at most ``training_docs`` documents of each language, those whose ids hash
     lowest; n-grams are counted where the documents are, and only profiles come to the driver.
     """
-    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("doc_id").alias("_h"), F.octet_length("text").alias("_n"))
-    # The hash bound that lets about twice the sample through comes from counts; rows above it never move.
-    counts = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).groupBy("lang").count()
-    share = F.least(F.lit(1.0), 2.0 * training_docs / F.col("count")).alias("_share")
-    near = rows.join(counts.select("lang", share), "lang").where(F.pmod(F.col("_h"), F.lit(1 << 20)) < F.col("_share") * (1 << 20))
-    sample = near.withColumn("_at", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(F.col("_h"), F.lit(1 << 20)), "_h", "_n", "text"))).where(F.col("_at") <= training_docs).select("lang", "text")
+    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    # One row a language (as the profiles are) says which hashes are surely above the sample; their texts never move.
+    counts = rows.groupBy("lang").count().select("lang", (2.0 * training_docs / F.col("count") * (1 << 30)).alias("_bound"))
+    near = rows.select("lang", "text", drawn.alias("_h")).join(F.broadcast(counts), "lang").where(F.col("_h") < F.col("_bound"))
+    at = F.row_number().over(Window.partitionBy("lang").orderBy("_h", "text"))
+    sample = near.withColumn("_at", at).where(F.col("_at") <= training_docs).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import written
+
 # Letters of other scripts that look like Latin ones, and signs that replace letters.
 LOOK_ALIKES = {
     "а": "a", "в": "b", "е": "e", "ё": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "і": "i", "ї": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "һ": "h", "ԛ": "q", "ԝ": "w", "ѵ": "v", "ɡ": "g",
@@ -100,21 +102,22 @@ def inputs(measured: tuple[int, float, float]) -> tuple[float, float, float]:
     return math.log1p(measured[0]), math.log1p(measured[1]), math.log1p(measured[2])
 
 
-def _sample(labelled: DataFrame, training_docs: int) -> DataFrame:
-    """text, toxic of at most ``training_docs`` documents of each label, those whose ids hash lowest."""
-    rows = labelled.where("toxic IS NOT NULL AND text IS NOT NULL").select("toxic", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("_h"))
-    counts = rows.groupBy("toxic").count()
-    near = rows.join(counts, "toxic").where(F.col("_h") < (1 << 30) * F.least(F.lit(1.0), 2.0 * training_docs / F.col("count")))
-    at = F.row_number().over(Window.partitionBy("toxic").orderBy("_h", "text"))
-    return near.withColumn("_at", at).where(F.col("_at") <= training_docs).select("text", (F.col("toxic") > 0).alias("toxic"))
-
+def _sample(docs: DataFrame, labels: DataFrame, training_docs: int) -> DataFrame:
+    """text, toxic of the documents with the ``training_docs`` ids of each label that hash lowest."""
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    rows = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", (F.col("toxic") > 0).alias("toxic"), drawn.alias("_h")).distinct()
+    counts = rows.groupBy("toxic").count()  # two rows
+    near = rows.join(F.broadcast(counts), "toxic").where(F.col("_h") < (1 << 30) * 2.0 * training_docs / F.col("count"))
+    at = F.row_number().over(Window.partitionBy("toxic").orderBy("_h", "doc_id"))
+    chosen = near.withColumn("_at", at).where(F.col("_at") <= training_docs).select("doc_id", "toxic")
+    # At most 2 * training_docs ids are broadcast; no other text leaves its place.
+    return docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
 
-def learn(labelled: DataFrame, training_docs: int = TRAINING_DOCS) -> Lexicon:
-    """Fits lexicon, exceptions and curve on ``labelled``: doc_id, text, toxic (0 or 1)."""
-    from .common import written
 
-    spark = labelled.sparkSession
-    sample = written(_sample(labelled, training_docs), "toxic_sample")
+def learn(docs: DataFrame, labels: DataFrame, training_docs: int = TRAINING_DOCS) -> Lexicon:
+    """Fits lexicon, exceptions and curve on the texts of ``docs`` that ``labels`` (doc_id, toxic 0 or 1) has."""
+    spark = docs.sparkSession
+    sample = written(_sample(docs, labels, training_docs).repartition(16), "toxic_sample")
     n = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n_toxic, n_clean = n.get(True, 0), n.get(False, 0)
     if not n_toxic or not n_clean:
