@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, dart_minhash, exact_dedup, langid, mixing, token_cache, toxicity
+from . import bpe, common, dart_minhash, exact_dedup, hmm_lm, langid, mixing, token_cache, toxicity
 from .sql import ORACLE_SQL
 
 #: Where the public tokenizers' vocabulary files are; a deployment sets its own.
@@ -48,6 +48,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digests(common.documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.tiktoken"), pattern)
 
 
+def op8_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_lm.score(common.documents(spark, sf_dir), F.coalesce(common.fold_of(7) == 2, F.lit(True)))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart_minhash.near_duplicates(common.documents(spark, sf_dir))
 
@@ -57,7 +61,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_toxicity, op2_token_counts, op3_language_id, op6_source_mixing, op7_byte_bpe, op9_near_dedup, op10_exact_dedup]
+    own = [op1_toxicity, op2_token_counts, op3_language_id, op6_source_mixing, op7_byte_bpe, op8_hmm_scores, op9_near_dedup, op10_exact_dedup]
     return {f.__name__: f for f in own}
 
 
