@@ -146,3 +146,16 @@ def predict(docs: DataFrame, profiles: Profiles, *carry: Column) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     return rows.mapInArrow(run, own.add("lang_pred", "string").add("score", "double"))
+
+
+def keep_identified(docs: DataFrame, profiles: Profiles) -> DataFrame:
+    """The rows and columns of ``docs`` whose text has a language; no shuffle."""
+    held = docs.sparkSession.sparkContext.broadcast(profiles)
+    text_at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [t.is_valid and held.value.predict(t.as_py())[0] != UNKNOWN for t in batch.column(text_at)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
