@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, dart_minhash, exact_dedup, hmm_lm, langid, mixing, suffix_dedup, token_cache, toxicity
+from . import bpe, common, dart_minhash, exact_dedup, hmm_lm, langid, media, mixing, suffix_dedup, token_cache, toxicity
 from .sql import ORACLE_SQL
 
 #: Where the public tokenizers' vocabulary files are; a deployment sets its own.
@@ -43,6 +43,11 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(common.documents(spark, sf_dir)).drop("kept")
 
 
+def op5_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("image_id"), F.col("embedding").alias("vector"))
+    return media.copies_report(vectors).withColumnRenamed("image_id", "vec_id")
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -65,7 +70,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_toxicity, op2_token_counts, op3_language_id, op4_suffix_dedup, op6_source_mixing, op7_byte_bpe, op8_hmm_scores, op9_near_dedup, op10_exact_dedup]
+    own = [op1_toxicity, op2_token_counts, op3_language_id, op4_suffix_dedup, op5_media_copies, op6_source_mixing, op7_byte_bpe, op8_hmm_scores, op9_near_dedup, op10_exact_dedup]
     return {f.__name__: f for f in own}
 
 
