@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import text_of
 
-#: Distinct pieces that a Python worker remembers, and the longest piece that it does.
-CACHE_PIECES, CACHE_LENGTH = 400_000, 48
+#: Distinct pieces that a task remembers, and the longest piece that it does.
+CACHE_PIECES, CACHE_LENGTH = 250_000, 48
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -258,5 +258,6 @@ def encoding_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             n, ids, raw = zip(*rows) if rows else ((), (), ())
             arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(raw, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        own.pieces.clear()  # the worker may serve other operators next
 
     return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, SCHEMA)
