@@ -1,0 +1,44 @@
+"""Teaching-context packets: small results of several queries, packed on the driver."""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import graph, learner, search
+
+#: What a mode asks of the tutor.
+ACTIONS = {"guided": "ask one question at a time", "explain": "explain, then check", "practice": "give an exercise", "review": "ask for recall", "hint": "give the least hint"}
+#: Lists that a tight budget halves, in this order.
+TRIMMED = ("quotes", "relatives", "path", "ready", "matches")
+
+
+def trim(packet: dict, tokens: int) -> dict:
+    """Halves lists in a fixed order until the packet's JSON fits into four characters a token (1000 at least)."""
+    most = max(1000, 4 * tokens)
+    fits = lambda: len(json.dumps(packet, ensure_ascii=False, default=str)) <= most
+    for name in TRIMMED:
+        if fits():
+            return packet
+        packet[name] = packet.get(name, [])[: len(packet.get(name, [])) // 2]
+    packet["over_budget"] = not fits()
+    return packet
+
+
+def pack(nodes: DataFrame, edges: DataFrame, states: DataFrame, learner_id: int, query: str, mode: str = "guided", tokens: int = 2000) -> dict:
+    """The packet of a query: only lists that a limit bounds come to the driver."""
+    rows = lambda df, n: [r.asDict() for r in df.limit(n).collect()]
+    matches = rows(search.search(nodes, query, limit=6), 6)
+    packet = {"query": query, "mode": mode if mode in ACTIONS else "guided", "action": ACTIONS.get(mode, ACTIONS["guided"]), "matches": matches}
+    candidates = learner.readiness(nodes, edges, states, learner_id)
+    packet["ready"] = rows(candidates.where("ready").orderBy(*learner.best_first(candidates)).select("id", "label", "score"), 5)
+    if matches:
+        near = search.roles(graph.relatives(nodes, edges, matches[0]["id"])).where("role IS NOT NULL")
+        packet["relatives"] = rows(near.orderBy("role", "label", "id").select("id", "label", "role"), 24)
+        view = learner.overlay(nodes, states, learner_id)
+        packet["path"] = rows(graph.learning_path(view, edges, matches[0]["id"], max_steps=8).orderBy("step").select("step", "id", "label", "minutes"), 8)
+    mistakes = states.where(F.col("learner_id") == learner_id).select("last_at", F.explode("mistakes").alias("mistake"))
+    packet["mistakes"] = [r.mistake for r in mistakes.groupBy("mistake").agg(F.max("last_at").alias("t")).orderBy(F.desc("t"), "mistake").limit(8).collect()]
+    return trim(packet, tokens)
