@@ -61,3 +61,15 @@ def power_of_two(n: float, least: int, most: int) -> int:
     while size < n and size < most:
         size *= 2
     return size
+
+
+def maybe_among(rows: DataFrame, column: str, wanted: DataFrame, key: str, log_words: int = 16) -> DataFrame:
+    """The rows whose ``column`` may be among ``wanted``.
+
+    A Bloom filter of 2 ** ``log_words`` words of 64 bits, of that size for any number of keys, spares the
+    other rows a shuffle; a full filter lets all pass. The caller still joins.
+    """
+    word, bit = F.col("_hash").bitwiseAND((1 << log_words) - 1), F.expr(f"shiftleft(1L, cast(shiftright(_hash, {log_words}) & 63 as int))")
+    words = wanted.select(F.xxhash64(key).alias("_hash")).select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    hashed = rows.withColumn("_hash", F.xxhash64(column)).withColumn("_word", word)
+    return hashed.join(F.broadcast(words), "_word").where(F.col("_bits").bitwiseAND(bit) != 0).select(*rows.columns)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import maybe_among, text_of, written
 
 WORDS, THRESHOLD, BANDS, ROWS, SMALL = 5, 0.8, 20, 4, 16
 #: Any four of 20 bands hold two that are at most five apart, counted around.
@@ -209,18 +209,10 @@ def _links(pairs: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(threshold), "a long, b long")
 
 
-def _needed(rows: DataFrame, column: str, wanted: DataFrame, key: str) -> DataFrame:
-    """The rows whose ``column`` may be among ``wanted``: a Bloom filter of 65,536 words, at any size, spares the others a shuffle."""
-    place = lambda c: [F.xxhash64(c).bitwiseAND(0xFFFF).alias("_word"), F.shiftright(F.xxhash64(c), 16).bitwiseAND(63).cast("int").alias("_bit")]
-    bit = F.expr("shiftleft(1L, _bit)")
-    words = wanted.select(*place(key)).groupBy("_word").agg(F.bit_or(bit).alias("_bits"))
-    return rows.select("*", *place(column)).join(F.broadcast(words), "_word").where(F.col("_bits").bitwiseAND(bit) != 0).select(*rows.columns)
-
-
 def _buckets(rows: DataFrame) -> DataFrame:
     """key, rep, n, least of the rows (key, rep) whose bucket has several members."""
     sizes = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least")).where("n > 1"), "buckets")
-    return written(_needed(rows, "key", sizes, "key").join(sizes, "key"), "members")
+    return written(maybe_among(rows, "key", sizes, "key").join(sizes, "key"), "members")
 
 
 def _pairs(members: DataFrame) -> DataFrame:
@@ -254,7 +246,7 @@ def connected(links: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, keyed: DataFrame, words: int, threshold: float) -> DataFrame:
     pairs = written(pairs, "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = _needed(keyed.select(F.col("doc_id").alias("rep"), "text"), "rep", ids, "id")
+    texts = maybe_among(keyed.select(F.col("doc_id").alias("rep"), "text"), "rep", ids, "id")
     grams = texts.mapInArrow(_grams(words), "rep long, grams binary").dropDuplicates(["rep"]).join(ids, F.col("rep") == F.col("id"), "left_semi")
     return written(_links(pairs, written(grams, "grams"), threshold), "links")
 
