@@ -76,7 +76,7 @@ def shingles(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
     first = np.searchsorted(doc, np.arange(len(texts) + 1))
     run = np.zeros(max(0, len(h) - words + 1), np.uint64)
     for k in range(words):
-        run = mixed(run * _MIX[2] + h[k : len(h) - words + 1 + k])
+        run = mixed(run * _MIX[2] + h[k : k + len(run)])
     out = []
     for a, b in zip(first[:-1], first[1:]):
         if b - a >= words:

@@ -67,15 +67,16 @@ def drop_copies(docs: DataFrame, keep: str = "largest", runs: int = 64, fan_in:
     """The input's rows and columns without copies: one row of each group of equal texts."""
     groups = merged_runs(docs, keep, runs, fan_in).select(*KEY, F.col("keep_id").alias("_keep"), "group_size")
     text = text_of()
-    keyed = docs.withColumns(
-        {
-            "_digest": F.unhex(F.sha2(text.cast("binary"), 256)),
-            "_bytes": F.octet_length(text),
-            "_check": F.xxhash64(text),
-        }
+    # The rows travel as one struct, so that no column of theirs can clash.
+    keyed = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("_row"),
+        F.col("doc_id").alias("_id"),
+        F.unhex(F.sha2(text.cast("binary"), 256)).alias("_digest"),
+        F.octet_length(text).alias("_bytes"),
+        F.xxhash64(text).alias("_check"),
     )
-    kept = keyed.join(groups, list(KEY)).where(F.col("doc_id").eqNullSafe(F.col("_keep")))
-    single = kept.where("group_size = 1").select(*docs.columns)
+    kept = keyed.join(groups, list(KEY)).where(F.col("_id").eqNullSafe(F.col("_keep")))
+    single = kept.where("group_size = 1").select("_row.*")
     # Of a group, more than one row can carry the id that stays; only those groups pay for a distinct.
-    several = kept.where("group_size > 1").dropDuplicates(list(KEY)).select(*docs.columns)
+    several = kept.where("group_size > 1").dropDuplicates(list(KEY)).select("_row.*")
     return single.unionByName(several)

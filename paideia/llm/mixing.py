@@ -118,6 +118,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     plan = mix(docs, **options).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_size"), "copies")
     # Rows that share id, source and size are alike for the mix; each row gets a share of their copies.
     plan = plan.groupBy("_id", "_src", "_size").agg(F.max("copies").alias("copies"))
-    keyed = docs.withColumn("_words", F.regexp_count(text_of(), F.lit(WORD)).cast("long"))
-    joined = keyed.join(plan, keyed["doc_id"].eqNullSafe(plan["_id"]) & keyed["source"].eqNullSafe(plan["_src"]) & (keyed["_words"] == plan["_size"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[docs[c] for c in docs.columns])
+    # The rows travel as one struct, so that no column of theirs can clash.
+    words = F.regexp_count(text_of(), F.lit(WORD)).cast("long")
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_a"), F.col("source").alias("_b"), words.alias("_words"))
+    same = F.col("_a").eqNullSafe(F.col("_id")) & F.col("_b").eqNullSafe(F.col("_src")) & (F.col("_words") == F.col("_size"))
+    return keyed.join(plan, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
