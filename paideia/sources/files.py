@@ -7,6 +7,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DOCUMENTS = "doc_id string, title string, text string, source_path string, metadata map<string,string>"
 CHUNKS = "chunk_id string, doc_id string, title string, text string, ordinal int, source_path string, page_start int, page_end int, metadata map<string,string>"
@@ -78,7 +79,7 @@ def without_solution(exercises: DataFrame) -> DataFrame:
     return exercises.drop("solution")
 
 
-@F.udf("string")
+@F.udf(T.StringType())
 def attempt_id(body: str) -> str:
     """An id from the sorted JSON of an attempt."""
     text = json.dumps(json.loads(body), sort_keys=True, ensure_ascii=False)
@@ -141,7 +142,7 @@ def merge_memories(memories: DataFrame, patches: DataFrame) -> DataFrame:
     """learner_id, body: each learner's memory (JSON text) with its patches (body, seq) applied in order."""
     ordered = patches.groupBy("learner_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "body"))), lambda p: p["body"]).alias("patches"))
 
-    @F.udf("string")
+    @F.udf(T.StringType())
     def apply(body, each):
         memory = merge_memory(fresh_memory(), json.loads(body) if body else {})
         for patch in each or []:
