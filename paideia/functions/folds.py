@@ -53,24 +53,37 @@ def _state(fields: dict[str, Column]) -> Column:
     return F.struct(*[fields[n].cast(t).alias(n) for n, t in STATE.items()])
 
 
+#: How an answer moves mastery.
+MODES = ("bkt", "linear")
+
+
+def first_state() -> Column:
+    return _state({n: F.lit(v) for n, v in _FIRST.items()})
+
+
+def _step(s: Column, o: Column, threshold: Column, mode: str) -> Column:
+    right = o["correct"]
+    known = F.when(s["attempts"] == 0, F.greatest(s["mastery"], F.lit(PRIOR))).otherwise(s["mastery"])
+    new = bkt(known, right) if mode == "bkt" else linear(s["mastery"], right)
+    one = F.when(right, 1).otherwise(0)
+    return _state(
+        {
+            "mastery": new,
+            "linear": linear(s["linear"], right),
+            "gap_type": gap(s["mastery"], new, right, threshold),
+            "attempts": s["attempts"] + 1,
+            "correct_attempts": s["correct_attempts"] + one,
+            "streak": F.when(right, s["streak"] + 1).otherwise(0),
+        }
+        | review(s, o["quality"])
+    )
+
+
 def fold(observations: Column, threshold: Column) -> Column:
     """The state after ``observations``: an array, in order, of structs with correct and quality."""
+    return F.aggregate(observations, first_state(), lambda s, o: _step(s, o, threshold, "bkt"))
+
 
-    def step(s: Column, o: Column) -> Column:
-        right = o["correct"]
-        known = F.when(s["attempts"] == 0, F.greatest(s["mastery"], F.lit(PRIOR))).otherwise(s["mastery"])
-        new = bkt(known, right)
-        one = F.when(right, 1).otherwise(0)
-        return _state(
-            {
-                "mastery": new,
-                "linear": linear(s["linear"], right),
-                "gap_type": gap(s["mastery"], new, right, threshold),
-                "attempts": s["attempts"] + 1,
-                "correct_attempts": s["correct_attempts"] + one,
-                "streak": F.when(right, s["streak"] + 1).otherwise(0),
-            }
-            | review(s, o["quality"])
-        )
-
-    return F.aggregate(observations, _state({n: F.lit(v) for n, v in _FIRST.items()}), step)
+def trail(observations: Column, threshold: Column, start: Column, mode: str = "bkt") -> Column:
+    """An array of the state ``start`` and the state after each of the observations."""
+    return F.aggregate(observations, F.array(start), lambda t, o: F.concat(t, F.array(_step(F.element_at(t, -1), o, threshold, mode))))

@@ -81,6 +81,54 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = after
 
 
+def fuse_concepts(concepts: DataFrame, threshold: float = THRESHOLD, links: DataFrame | None = None) -> DataFrame:
+    """Concepts (chunk_id, pos, name, description, confidence, evidence and arrays) with similar ones of a chunk made one.
+
+    A group keeps the concept of the longest description (the first of equal ones), its largest confidence, and
+    the union of prerequisites, related, formulas, problem_types and aliases, first mentions first, without
+    regard to case. Groups are the components of lexically similar names; ``links`` (chunk_id, a, b: positions),
+    such as pairs of similar embeddings, are used instead where given. One group is one chunk's concepts at most.
+    """
+    rows = _saved(concepts.withColumn("norm", L.normalize_label(F.col("name"))).withColumn("key", F.concat("chunk_id", F.lit(":"), F.lpad(F.col("pos").cast("string"), 10, "0"))))
+    if links is None:
+        near = lexical_pairs(rows, threshold).select("a", "b")
+        same = rows.where("norm <> ''").select(F.col("norm").alias("a"), F.col("norm").alias("b")).distinct()
+        x = rows.select("chunk_id", F.col("norm").alias("a"), F.col("key").alias("x"))
+        y = rows.select("chunk_id", F.col("norm").alias("b"), F.col("key").alias("y"))
+        pairs = near.unionAll(same).join(x, "a").join(y, ["chunk_id", "b"]).where("x <> y").select("x", "y").distinct()
+    else:
+        at = rows.select("chunk_id", "pos", "key")
+        pairs = links.join(at.withColumnsRenamed({"pos": "a", "key": "x"}), ["chunk_id", "a"]).join(at.withColumnsRenamed({"pos": "b", "key": "y"}), ["chunk_id", "b"]).select("x", "y")
+    joined = rows.join(components(pairs, "x", "y").withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    lists = ("prerequisites", "related", "formulas", "problem_types", "aliases")
+    whole = F.array_sort(F.collect_list(F.struct("pos", "name", *lists)))
+    best = F.max_by(F.struct("name", "description", "bloom_level", "evidence"), F.struct(F.length(F.coalesce("description", F.lit(""))), -F.col("pos")))
+    grouped = joined.groupBy("chunk_id", "root").agg(F.min("pos").alias("pos"), best.alias("best"), F.max("confidence").alias("confidence"), F.count(F.lit(1)).cast("int").alias("group_size"), whole.alias("w"))
+    none = F.array().cast("array<string>")
+
+    def united(values: Column, but: Column | None) -> Column:
+        trimmed = F.filter(F.transform(values, L.stripped), lambda t: (t != "") & (F.lit(True) if but is None else t != but))
+        lower = F.transform(trimmed, F.lower)
+        return F.filter(trimmed, lambda t, i: F.array_position(lower, F.lower(t)) == i + 1)
+
+    flat = lambda name: F.flatten(F.transform("w", lambda c: F.coalesce(c[name], none)))
+    named = F.flatten(F.transform("w", lambda c: F.concat(F.array(c["name"]), F.coalesce(c["aliases"], none))))
+    own = F.col("best.name")
+    merged = {"prerequisites": united(flat("prerequisites"), own), "related": united(flat("related"), own), "formulas": united(flat("formulas"), None), "problem_types": united(flat("problem_types"), None), "aliases": united(named, own)}
+    # A concept alone stays as it came.
+    alone = F.col("group_size") == 1
+    out = [F.when(alone, F.get("w", F.lit(0))[n]).otherwise(merged[n]).alias(n) for n in lists]
+    return grouped.select("chunk_id", "pos", "best.*", "confidence", *out, "group_size")
+
+
+def fusion_report(fused: DataFrame) -> DataFrame:
+    """One row: concepts in and out, groups merged, and concepts in them."""
+    several = F.col("group_size") > 1
+    return fused.agg(
+        F.coalesce(F.sum("group_size"), F.lit(0)).alias("input_count"), F.count(F.lit(1)).alias("output_count"), F.count_if(several).alias("groups_merged"), F.coalesce(F.sum(F.when(several, F.col("group_size"))), F.lit(0)).alias("concepts_merged")
+    )
+
+
 def merge_nodes(events: DataFrame) -> DataFrame:
     """One node for each node_id of upsert events (node_id, seq, label, kind, description, source): the first label,
     the longest description (the first of equal ones), and distinct further labels and sources in order."""
@@ -165,6 +213,11 @@ def build_graph(chunks: DataFrame, extractions: DataFrame, threshold: float = TH
     return nodes, merge_edges(mentions.unionByName(others))
 
 
+def without_chunk(chunks: DataFrame, extractions: DataFrame) -> DataFrame:
+    """chunk_id of extractions whose chunk is unknown; the build leaves them out."""
+    return extractions.select("chunk_id").distinct().join(chunks, "chunk_id", "left_anti")
+
+
 def summarize(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """what, name, n: numbers of nodes by kind and of edges by relation."""
     a = nodes.groupBy(F.col("kind").alias("name")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("node").alias("what"), "name", "n")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paideia.functions import labels as L
-from paideia.operators import chunking, graph, learner, markdown, resolution, search
+from paideia.operators import assessment, chunking, graph, learner, markdown, resolution, search
 from paideia.plans import context
 from paideia.plans import queries as Q
 from paideia.plans.adapters import adapter
@@ -183,3 +183,49 @@ def test_stream(spark, tmp_path):
     want = {(r.learner_id, r.node_id): r.mastery for r in learner.trace(adapter(spark, SF, "observations")).collect()}
     got = {(r.learner_id, r.node_id): r.mastery for r in spark.sql("SELECT * FROM mastery").collect()}
     assert want.keys() == got.keys() and all(abs(want[k] - got[k]) < 1e-9 for k in want)
+
+
+def test_assessment(spark):
+    nodes, _ = small_graph(spark)
+    bodies = [
+        ('{"node_id": "a", "correct": true, "quality": 4}', True), ('{"node": " Force ", "is_correct": 0, "mistake": "sign"}', False), ('{"node_id": "a", "correct": null, "score": 1}', False),
+        ('{"node_id": "a", "correct": "false"}', True), ('{"node_id": "zz", "score": 0.6}', True), ('{"node_id": "a", "quality": 2}', False), ('{"node_id": "a"}', False), ('{"node_id": "", "correct": true}', None), ("broken", None),
+    ]
+    at = datetime(2024, 1, 1)
+    rows = spark.createDataFrame([(0, i, at, b) for i, (b, _) in enumerate(bodies)], "learner_id long, seq long, at timestamp, body string")
+    got = {r.seq: r[1] for r in rows.select("seq", assessment.is_correct(F.col("body"))).collect()}
+    assert all(got[i] == v for i, (_, v) in enumerate(bodies) if v is not None)
+    states = learner.trace(observations(spark, [(True, 4)]).withColumn("node_id", F.lit("a")))
+    updates = assessment.apply_assessments(states, rows, nodes)
+    found = {r.seq: r for r in updates.collect()}
+    assert sorted(found) == list(range(7)) and found[1].node_id == "b" and found[1].label == "force" and found[4].node_id == "zz"
+    answers = [(True, 4), (True, 4), (False, None), (True, None), (False, 2), (False, None)]
+    want = learner.trace(observations(spark, answers)).first()
+    after = {r.node_id: r for r in assessment.states_after(states, updates).collect()}
+    assert set(after) == {"a", "b", "zz"} and abs(after["a"].mastery - want.mastery) < 1e-12 and after["a"].attempts == 6 and after["a"].interval_days == want.interval_days
+    assert after["b"].mistakes == ["sign"] and found[0].previous_attempts == 1 and found[0].next_review_at == at + timedelta(days=6)
+    linear = {r.seq: r for r in assessment.apply_assessments(states, rows, nodes, "linear").collect()}
+    assert abs(linear[4].new_mastery - 0.15) < 1e-12 and linear[1].new_mastery == 0.0
+    with pytest.raises(ValueError):
+        assessment.apply_assessments(states, rows, nodes, "other")
+
+
+def test_fusion(spark):
+    schema = "chunk_id string, pos int, name string, description string, bloom_level string, confidence double, evidence string, prerequisites array<string>, related array<string>, formulas array<string>, problem_types array<string>, aliases array<string>"
+    rows = [
+        ("c1", 0, "Newton's second law", "short", None, 0.4, "e0", ["Force"], [], ["F = m a"], [], []), ("c1", 1, "the second law of Newton", "a longer text", None, 0.7, "e1", ["force", "mass"], None, [], ["dynamics"], ["law 2"]),
+        ("c1", 2, "entropy", "", None, 0.5, "e2", [], [], [], [], ["Entropy", "entropy"]), ("c2", 0, "newton second law", "other chunk", None, 0.1, "e3", [], [], [], [], []), ("c2", 1, "?!", None, None, None, None, None, None, None, None, None), ("c2", 2, "?!", None, None, None, None, None, None, None, None, None),
+    ]
+    concepts = spark.createDataFrame(rows, schema)
+    got = {(r.chunk_id, r.pos): r for r in resolution.fuse_concepts(concepts).collect()}
+    assert sorted(got) == [("c1", 0), ("c1", 2), ("c2", 0), ("c2", 1), ("c2", 2)]
+    one = got["c1", 0]
+    assert (one.name, one.confidence, one.evidence, one.group_size) == ("the second law of Newton", 0.7, "e1", 2)
+    assert (one.prerequisites, one.aliases, one.formulas, one.problem_types) == (["Force", "mass"], ["Newton's second law", "law 2"], ["F = m a"], ["dynamics"])
+    assert got["c1", 2].aliases == ["Entropy", "entropy"] and got["c2", 1].aliases is None
+    report = resolution.fusion_report(resolution.fuse_concepts(concepts)).first()
+    assert tuple(report) == (6, 5, 1, 2)
+    links = spark.createDataFrame([("c1", 0, 2)], "chunk_id string, a int, b int")
+    assert {(r.chunk_id, r.pos): r.group_size for r in resolution.fuse_concepts(concepts, links=links).collect()}[("c1", 0)] == 2
+    assert tuple(resolution.fusion_report(resolution.fuse_concepts(concepts.limit(0))).first()) == (0, 0, 0, 0)
+    assert [r.chunk_id for r in resolution.without_chunk(spark.createDataFrame([("c1",)], "chunk_id string"), concepts).collect()] == ["c2"]
