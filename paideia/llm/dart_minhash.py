@@ -11,7 +11,10 @@ Equal texts are one class before anything is compared. Coordinates are banded; d
 band are candidates, and a pair is a link only if the similarity of the shingles themselves reaches the
 threshold. With 20 bands of 4, a pair at 0.8 shares no band with a probability of 3 in 100,000. Buckets of up to
 ``SMALL`` members compare all; in larger ones, each member is compared with the lowest id, and those
-that this doesn't link meet again in buckets of two bands at most five apart (any four common bands hold such two). Classes are the connected components.
+that this doesn't link meet again in buckets of two bands at most five apart (any four common bands hold such two).
+Then the members of each large bucket are put in the order of their further bands, where members that share
+many are neighbours, and each is compared with those of the ``AHEAD`` next ones that are not of its class so far, in
+several orders that begin with other bands. Classes are the connected components.
 
 Results for odd input: null counts as empty; texts without words are similar to equal texts only;
 texts of one to four words have one shingle, all their words; rows that share a text are one class, and
@@ -23,17 +26,21 @@ class; an empty table gives an empty table.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import maybe_among, text_of, written
 
 WORDS, THRESHOLD, BANDS, ROWS, SMALL = 5, 0.8, 20, 4, 16
 #: Any four of 20 bands hold two that are at most five apart, counted around.
 NEXT = 5
+#: Members of a large bucket that follow one in the order of further bands, bands of that order, and where orders begin.
+AHEAD, DEPTH, TURNS = 16, 6, (0, 6, 12)
 #: log2 of the lowest strip's upper rank.
 _FIRST_STRIP = -9
 #: Bytes of text that are worked on at once.
@@ -243,8 +250,22 @@ def connected(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _along(large: DataFrame, roots: DataFrame, bands: int, turn: int) -> DataFrame:
+    """Pairs of different classes that are near each other in a large bucket's order of further bands.
+
+    ``large`` has key, rep, bands. A bucket is sorted, not held; each member meets AHEAD others, whatever the bucket's size.
+    """
+    first = F.array_position("bands", F.col("key")).cast("int") + turn  # array_position counts from 1: the band after the key's
+    further = F.array(*[F.get("bands", (first + d) % bands) for d in range(DEPTH)])
+    rows = large.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"), further.alias("further"))
+    order = Window.partitionBy("key").orderBy("further", "rep")
+    ahead = [F.lead(F.struct("rep", "root"), k).over(order) for k in range(1, AHEAD + 1)]
+    met = rows.select("rep", "root", F.array(*ahead).alias("ahead")).select("rep", "root", F.explode("ahead").alias("o")).where("o.root <> root")
+    return met.select(F.least("rep", "o.rep").alias("a"), F.greatest("rep", "o.rep").alias("b")).distinct()
+
+
 def _verified(pairs: DataFrame, keyed: DataFrame, words: int, threshold: float) -> DataFrame:
-    pairs = written(pairs, "pairs")
+    """The links among the pairs, which are a written table."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = maybe_among(keyed.select(F.col("doc_id").alias("rep"), "text"), "rep", ids, "id")
     grams = texts.mapInArrow(_grams(words), "rep long, grams binary").dropDuplicates(["rep"]).join(ids, F.col("rep") == F.col("id"), "left_semi")
@@ -252,20 +273,28 @@ def _verified(pairs: DataFrame, keyed: DataFrame, words: int, threshold: float)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """A row per document: doc_id, class_id, links (of its text to other texts), kept (class_id is its id)."""
+    """A row per document: doc_id, class_id, links (found links of its text to other texts), kept (class_id is its id).
+
+    In large buckets ``links`` counts what was compared, which need not be all links inside a class.
+    """
     text = text_of()
     keyed = docs.select(F.col("doc_id").cast("long"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"), text.alias("text"))
     sketches = written(keyed.mapInArrow(_sketch(words, bands, rows), "doc_id long, digest binary, bands array<long>"), "sketches")
     reps = written(sketches.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "reps")
     filled = reps.where("rep IS NOT NULL AND size(bands) > 0")
     members = _buckets(filled.select(F.explode("bands").alias("key"), "rep"))  # a band's hash holds its number
-    links = _verified(_pairs(members), keyed, words, threshold)
+    tried = written(_pairs(members), "pairs")
+    links = _verified(tried, keyed, words, threshold)
     # Members of large buckets that aren't like the lowest id meet again where one of the next NEXT bands agrees, too.
     rest = members.where((F.col("n") > SMALL) & (F.col("rep") > F.col("least"))).join(links.select(F.col("a").alias("least"), F.col("b").alias("rep")), ["least", "rep"], "left_anti")
     at = F.array_position("bands", F.col("key")).cast("int") - 1
     again = rest.join(filled, "rep").withColumn("_at", at).select("rep", F.explode(F.array(*[F.xxhash64("key", F.get("bands", (F.col("_at") + d) % bands)) for d in range(1, NEXT + 1)])).alias("key"))
-    more = _pairs(_buckets(again)).join(links, ["a", "b"], "left_anti")
-    links = links.unionByName(_verified(more, keyed, words, threshold))
+    more = written(_pairs(_buckets(again)).join(tried, ["a", "b"], "left_anti"), "pairs")
+    tried, links = tried.unionByName(more), links.unionByName(_verified(more, keyed, words, threshold))
+    roots = written(connected(links), "roots")
+    large = written(members.where(F.col("n") > SMALL).select("key", "rep").join(filled.select("rep", "bands"), "rep"), "large")
+    near = reduce(DataFrame.unionByName, [_along(large, roots, bands, turn) for turn in TURNS]).distinct()
+    links = links.unionByName(_verified(written(near.join(tried, ["a", "b"], "left_anti"), "pairs"), keyed, words, threshold))
     roots = connected(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
     texts = reps.select("digest", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
