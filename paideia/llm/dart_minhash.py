@@ -12,9 +12,10 @@ band are candidates, and a pair is a link only if the similarity of the shingles
 threshold. With 20 bands of 4, a pair at 0.8 shares no band with a probability of 3 in 100,000. Buckets of up to
 ``SMALL`` members compare all; in larger ones, each member is compared with the lowest id, and those
 that this doesn't link meet again in buckets of two bands at most five apart (any four common bands hold such two).
-Then the members of each large bucket are put in the order of their further bands, where members that share
-many are neighbours, and each is compared with those of the ``AHEAD`` next ones that are not of its class so far, in
-several orders that begin with other bands. Classes are the connected components.
+What is left is exact: in each large bucket whose members are of several classes by then, those outside the
+most common class are queries against all members. Both sides are dealt to blocks of bounded bytes by hash of the id; a
+task holds one block of each, counts common shingles through an inverted index, and returns only links that join
+classes. Classes are the connected components.
 
 Results for odd input: null counts as empty; texts without words are similar to equal texts only;
 texts of one to four words have one shingle, all their words; rows that share a text are one class, and
@@ -26,21 +27,19 @@ class; an empty table gives an empty table.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import maybe_among, text_of, written
 
 WORDS, THRESHOLD, BANDS, ROWS, SMALL = 5, 0.8, 20, 4, 16
 #: Any four of 20 bands hold two that are at most five apart, counted around.
 NEXT = 5
-#: Members of a large bucket that follow one in the order of further bands, bands of that order, and where orders begin.
-AHEAD, DEPTH, TURNS = 16, 6, (0, 6, 12)
+#: Bytes of shingles in a block of a large bucket, about.
+BLOCK = 8 << 20
 #: log2 of the lowest strip's upper rank.
 _FIRST_STRIP = -9
 #: Bytes of text that are worked on at once.
@@ -250,32 +249,91 @@ def connected(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _along(large: DataFrame, roots: DataFrame, bands: int, turn: int) -> DataFrame:
-    """Pairs of different classes that are near each other in a large bucket's order of further bands.
+def _elements(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the elements (shingle, how many times before) of all texts, and the text that each is of."""
+    sizes = [len(g) for g in grams]
+    every, owner = np.concatenate(grams).astype(np.uint64), np.repeat(np.arange(len(grams)), sizes)
+    new = np.concatenate([[True], (np.diff(every) != 0) | (np.diff(owner) != 0)])
+    nth = np.arange(len(every)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+    _, numbers = np.unique((every << np.uint64(32)) | nth.astype(np.uint64), return_inverse=True)
+    return numbers, owner
 
-    ``large`` has key, rep, bands. A bucket is sorted, not held; each member meets AHEAD others, whatever the bucket's size.
+
+def joining_links(grams: list[np.ndarray], roots: np.ndarray, asked: np.ndarray, main: int, threshold: float) -> list[tuple[int, int]]:
+    """Links that join the classes (``roots``) of the texts as all links of the texts ``asked`` to any text do.
+
+    A text that has come to class ``main`` asks no more: what it could be linked to either is of that class or asks itself.
     """
-    first = F.array_position("bands", F.col("key")).cast("int") + turn  # array_position counts from 1: the band after the key's
-    further = F.array(*[F.get("bands", (first + d) % bands) for d in range(DEPTH)])
-    rows = large.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"), further.alias("further"))
-    order = Window.partitionBy("key").orderBy("further", "rep")
-    ahead = [F.lead(F.struct("rep", "root"), k).over(order) for k in range(1, AHEAD + 1)]
-    met = rows.select("rep", "root", F.array(*ahead).alias("ahead")).select("rep", "root", F.explode("ahead").alias("o")).where("o.root <> root")
-    return met.select(F.least("rep", "o.rep").alias("a"), F.greatest("rep", "o.rep").alias("b")).distinct()
+    if not any(len(g) for g in grams):
+        return []
+    numbers, owner = _elements(grams)
+    sizes = np.bincount(owner, minlength=len(grams))
+    order = np.argsort(numbers, kind="stable")
+    by_element, starts = owner[order], np.searchsorted(numbers[order], np.arange(numbers.max() + 2))
+    shared = np.diff(starts) > 1
+    first, label, out = np.concatenate([[0], np.cumsum(sizes)]), roots.copy(), []
+    for x in asked:
+        mine = numbers[first[x] : first[x + 1]]
+        mine = mine[shared[mine]]
+        # A link has at least this share of either text's elements in common.
+        if label[x] == main or not len(mine) or len(mine) < threshold * sizes[x]:
+            continue
+        common = np.bincount(np.concatenate([by_element[starts[e] : starts[e + 1]] for e in mine]), minlength=len(grams))
+        hits = np.flatnonzero((common / (sizes[x] + sizes - common) >= threshold) & (label != label[x]))
+        for other, y in zip(*np.unique(label[hits], return_index=True)):
+            out.append((int(x), int(hits[y])))
+            low, high = (label[x], other) if label[x] == main else (other, label[x])
+            label[label == high] = low
+    return out
+
+
+def _block(threshold: float):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        ids, roots = table.column("rep").to_numpy(), table.column("root").to_numpy()
+        grams = [np.frombuffer(g.as_buffer(), "<u4") for g in table.column("grams")]
+        links = joining_links(grams, roots, np.flatnonzero(table.column("asks").to_numpy(zero_copy_only=False)), table.column("main")[0].as_py(), threshold)
+        a, b = (ids[np.array(side, int)] for side in (zip(*links) if links else ((), ())))
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return run
+
+
+def _rest(large: DataFrame, roots: DataFrame, keyed: DataFrame, words: int, threshold: float) -> DataFrame:
+    """Links that join the classes found so far, among all pairs of members of a large bucket (key, rep)."""
+    rows = large.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
+    counted = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    main = counted.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("classes")).where("classes > 1").drop("classes")
+    rows = written(rows.join(main, "key").withColumn("asks", F.col("root") != F.col("main")), "rest")
+    grams = _grams_of(rows.select(F.col("rep").alias("id")).distinct(), keyed, words)
+    size = F.length("grams")
+    sized = written(rows.join(grams, "rep"), "rest_grams")
+    blocks = sized.groupBy("key").agg(*[F.greatest(F.lit(1), F.ceil(F.coalesce(F.sum(s), F.lit(0)) / BLOCK)).cast("int").alias(n) for n, s in (("_all", size), ("_asking", F.when(F.col("asks"), size)))])
+    dealt = sized.join(blocks, "key")
+    of = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = dealt.select("key", "rep", "root", "main", F.lit(False).alias("asks"), "grams", of("_all").alias("_block"), each("_asking").alias("_query"))
+    asking = dealt.where("asks").select("key", "rep", "root", "main", "asks", "grams", of("_asking").alias("_query"), each("_all").alias("_block"))
+    met = asked.unionByName(asking)
+    return written(met.groupBy("key", "_block", "_query").applyInArrow(_block(threshold), "a long, b long").where("a <> b").distinct(), "links")
+
+
+def _grams_of(ids: DataFrame, keyed: DataFrame, words: int) -> DataFrame:
+    """rep, grams (sorted shingles) of the texts with these ids."""
+    texts = maybe_among(keyed.select(F.col("doc_id").alias("rep"), "text"), "rep", ids, "id")
+    return written(texts.mapInArrow(_grams(words), "rep long, grams binary").dropDuplicates(["rep"]).join(ids, F.col("rep") == F.col("id"), "left_semi"), "grams")
 
 
 def _verified(pairs: DataFrame, keyed: DataFrame, words: int, threshold: float) -> DataFrame:
     """The links among the pairs, which are a written table."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = maybe_among(keyed.select(F.col("doc_id").alias("rep"), "text"), "rep", ids, "id")
-    grams = texts.mapInArrow(_grams(words), "rep long, grams binary").dropDuplicates(["rep"]).join(ids, F.col("rep") == F.col("id"), "left_semi")
-    return written(_links(pairs, written(grams, "grams"), threshold), "links")
+    return written(_links(pairs, _grams_of(ids, keyed, words), threshold), "links")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """A row per document: doc_id, class_id, links (found links of its text to other texts), kept (class_id is its id).
 
-    In large buckets ``links`` counts what was compared, which need not be all links inside a class.
+    In large buckets ``links`` counts the links that were needed to find classes, not all links inside a class.
     """
     text = text_of()
     keyed = docs.select(F.col("doc_id").cast("long"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"), text.alias("text"))
@@ -290,11 +348,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
     at = F.array_position("bands", F.col("key")).cast("int") - 1
     again = rest.join(filled, "rep").withColumn("_at", at).select("rep", F.explode(F.array(*[F.xxhash64("key", F.get("bands", (F.col("_at") + d) % bands)) for d in range(1, NEXT + 1)])).alias("key"))
     more = written(_pairs(_buckets(again)).join(tried, ["a", "b"], "left_anti"), "pairs")
-    tried, links = tried.unionByName(more), links.unionByName(_verified(more, keyed, words, threshold))
-    roots = written(connected(links), "roots")
-    large = written(members.where(F.col("n") > SMALL).select("key", "rep").join(filled.select("rep", "bands"), "rep"), "large")
-    near = reduce(DataFrame.unionByName, [_along(large, roots, bands, turn) for turn in TURNS]).distinct()
-    links = links.unionByName(_verified(written(near.join(tried, ["a", "b"], "left_anti"), "pairs"), keyed, words, threshold))
+    links = links.unionByName(_verified(more, keyed, words, threshold))
+    large = members.where(F.col("n") > SMALL).select("key", "rep")
+    links = links.unionByName(_rest(large, written(connected(links), "roots"), keyed, words, threshold)).distinct()
     roots = connected(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
     texts = reps.select("digest", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")

@@ -185,6 +185,59 @@ def test_near_duplicates(spark, odd, none):
     assert dart_minhash.near_duplicates(none).count() == 0
 
 
+def brute_classes(texts):
+    """The lowest index of each text's component, by all pairs."""
+    grams = [Counter(zip(*(t.split()[k:] for k in range(5)))) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if jaccard(grams[i], grams[j]) >= 0.8:
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    return [find(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("block", [dart_minhash.BLOCK, 4000])
+def test_near_duplicates_of_a_large_family(spark, monkeypatch, block):
+    # Edited forms of one text: many are in common buckets, but only some are near the lowest id, or near any other.
+    monkeypatch.setattr(dart_minhash, "BLOCK", block)
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(300)}" for _ in range(120)]
+    texts = []
+    for i in range(160):
+        c = list(base)
+        for k in range(rng.randrange(1, 6)):
+            c[rng.randrange(len(c))] = f"e{rng.randrange(3)}" if i % 2 else f"e{i}x{k}"
+        texts.append(" ".join(c))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    expected = brute_classes(texts)
+    assert 5 < len(set(expected)) < 120
+    assert {r.doc_id: r.class_id for r in dart_minhash.near_duplicates(docs).collect()} == dict(enumerate(expected))
+
+
+def test_joining_links():
+    rng = np.random.default_rng(4)
+    grams = [np.sort(rng.choice(np.arange(14, dtype="<u4"), int(rng.integers(0, 14)))) for _ in range(60)]
+    roots = np.arange(60)
+    roots[5:9] = 5
+    out = dart_minhash.joining_links(grams, roots, np.flatnonzero(roots != 5), 5, 0.6)
+    assert all(dart_minhash.similarity(grams[a], grams[b]) >= 0.6 for a, b in out)
+
+    def classes(links):
+        of = roots.copy()
+        for a, b in links:
+            of[of == of[a]] = of[b]
+        return {frozenset(np.flatnonzero(of == r).tolist()) for r in of}
+
+    assert classes(out) == classes((a, b) for a, b in itertools.combinations(range(60), 2) if dart_minhash.similarity(grams[a], grams[b]) >= 0.6)
+    assert dart_minhash.joining_links([np.empty(0, "<u4")] * 2, np.arange(2), np.arange(2), 0, 0.8) == []
+
+
 def test_dart_signatures():
     rng = np.random.default_rng(1)
     e = rng.integers(0, 2**63, 900).astype(np.uint64)
