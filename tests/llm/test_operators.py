@@ -331,6 +331,28 @@ def test_media(spark):
     assert media.read_pgm(b"P5 2 2 255\n123") is None and media.read_pgm(None) is None
 
 
+def _cornered(spark, images):
+    """Described images: id -> list of (corner's number, flipped bits); the corners of equal numbers are at equal places."""
+    words = np.random.default_rng(2).integers(-(2**63), 2**63 - 1, (200, 2))
+    rows = []
+    for i, corners in images.items():
+        flips = [[sum(1 << (63 - b + o) for b in bits if o <= b < o + 64) for o in (0, 64)] for _, bits in corners]
+        words_of = [[int(np.int64(words[n, k]) ^ np.uint64(f[k]).astype(np.int64)) for k in (0, 1)] for (n, _), f in zip(corners, flips)]
+        rows.append((i, [(20.0 + 10 * n, 20.0 + 7 * n, 1.0, *w) for (n, _), w in zip(corners, words_of)]))
+    return spark.createDataFrame(rows, f"class_id long, corners {media.CORNER}")
+
+
+@pytest.mark.parametrize("block", [4096, 2])
+def test_media_links_beside_the_lowest(spark, monkeypatch, block):
+    monkeypatch.setattr(media, "BLOCK", block)
+    plain = lambda *n: [(k, ()) for k in n]
+    # 3 shares eight corners with 2; the lowest image has four of them.
+    images = _cornered(spark, {1: plain(*range(4), *range(50, 60)), 2: plain(*range(8)), 3: plain(*range(8), 20), 4: plain(*range(100, 110))})
+    assert {r.class_id: r.group_id for r in media.group_copies(images).collect()} == {1: 1, 2: 2, 3: 2, 4: 4}
+    found = media.find_copies(_cornered(spark, {9: plain(*range(8), *range(50, 56))}), images).collect()
+    assert {(r.class_id, r.inliers) for r in found} == {(1, 10), (2, 8), (3, 8)}
+
+
 def test_pipeline(spark):
     import corpus_pipeline as P
 
