@@ -353,6 +353,14 @@ def test_media_links_beside_the_lowest(spark, monkeypatch, block):
     assert {(r.class_id, r.inliers) for r in found} == {(1, 10), (2, 8), (3, 8)}
 
 
+def test_media_flipped_bits(spark):
+    # Eight flipped bits, some in each third of the descriptor.
+    flipped = [(k, (5, 10, 45, 50, 88, 90, 95, 100)) for k in range(8)]
+    images = _cornered(spark, {1: [(k, ()) for k in range(8)], 2: flipped, 3: [(k, ()) for k in range(100, 108)]})
+    assert {r.class_id: r.group_id for r in media.group_copies(images).collect()} == {1: 1, 2: 1, 3: 3}
+    assert [(r.class_id, r.inliers) for r in media.find_copies(_cornered(spark, {9: flipped}), images.where("class_id <> 2")).collect()] == [(1, 8)]
+
+
 def test_pipeline(spark):
     import corpus_pipeline as P
 
