@@ -80,13 +80,13 @@ def relatives(nodes: DataFrame, edges: DataFrame, start: str, depth: int = 1, di
     return out
 
 
-def first_principles(nodes: DataFrame, edges: DataFrame, target: str, max_paths: int = 3, max_depth: int = 64) -> DataFrame:
+def first_principles(nodes: DataFrame, edges: DataFrame, target: str, max_paths: int = 3) -> DataFrame:
     """Paths from a node without prerequisites to ``target``, shortest first; a cycle ends a path with its repeated node."""
     pairs = _saved(requires(edges, nodes))
     paths = nodes.where(F.col("id") == target).select(F.array("id").alias("path"), F.lit(False).alias("done"))
     step = pairs.select(F.col("id").alias("head"), "needs")
     complete = None
-    for _ in range(max_depth):
+    while True:
         grown = paths.withColumn("head", F.col("path")[0]).join(step, "head", "left")
         ended = grown.where(F.col("needs").isNull() | F.col("done")).select("path").distinct()
         complete = ended if complete is None else complete.unionByName(ended)

@@ -131,6 +131,13 @@ def test_graph(spark):
     assert packet["matches"][0]["id"] == "c" and packet["mode"] == "guided"
 
 
+def test_first_principles_of_a_deep_graph(spark):
+    ids = [f"n{k:02d}" for k in range(67)]
+    nodes = spark.createDataFrame([(i, i, 1) for i in ids], "id string, label string, minutes int")
+    edges = spark.createDataFrame([(b, a, "REQUIRES") for a, b in zip(ids, ids[1:])], "source_id string, target_id string, relation string")
+    assert [(r.nodes, r.length) for r in graph.first_principles(nodes, edges, ids[-1]).collect()] == [(">".join(ids), 67)]
+
+
 def test_resolution(spark):
     labels = spark.createDataFrame([("The Force",), ("force field",), ("moto",), ("moto armonico",), ("ab",), ("a b c d e f g h",), ("h g f e d c b a x",), ("λ",)], "label string")
     norms = [r.n for r in labels.select(L.normalize_label(F.col("label")).alias("n")).collect()]
