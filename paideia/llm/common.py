@@ -4,11 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: A key with more than this part of all rows is dealt to several tasks.
+SHARE = 4000
+_scopes: list[list[str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
@@ -30,7 +37,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path for a table below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/paideia-{uuid.uuid4().hex}/{name}"
+    folder = f"{shared_dir(spark).rstrip('/')}/paideia-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(folder)
+    return f"{folder}/{name}"
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """The tables that operators write inside are deleted at the end: what still reads them must be written by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for folder in _scopes.pop():
+            delete(spark, folder)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
@@ -63,13 +89,42 @@ def power_of_two(n: float, least: int, most: int) -> int:
     return size
 
 
+def _filter_words(wanted: DataFrame, key: str, log_words: int) -> tuple[DataFrame, Column, Column]:
+    """A Bloom filter of 2 ** ``log_words`` words of 64 bits, of that size for any number of keys: its words, and a hash's word and bit."""
+    word, bit = F.col("_hash").bitwiseAND((1 << log_words) - 1), F.expr(f"shiftleft(1L, cast(shiftright(_hash, {log_words}) & 63 as int))")
+    words = wanted.select(F.xxhash64(key).alias("_hash")).select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    return words, word, bit
+
+
 def maybe_among(rows: DataFrame, column: str, wanted: DataFrame, key: str, log_words: int = 16) -> DataFrame:
     """The rows whose ``column`` may be among ``wanted``.
 
-    A Bloom filter of 2 ** ``log_words`` words of 64 bits, of that size for any number of keys, spares the
-    other rows a shuffle; a full filter lets all pass. The caller still joins.
+    The filter spares the other rows a shuffle; a full filter lets all pass. The caller still joins.
     """
-    word, bit = F.col("_hash").bitwiseAND((1 << log_words) - 1), F.expr(f"shiftleft(1L, cast(shiftright(_hash, {log_words}) & 63 as int))")
-    words = wanted.select(F.xxhash64(key).alias("_hash")).select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    words, word, bit = _filter_words(wanted, key, log_words)
     hashed = rows.withColumn("_hash", F.xxhash64(column)).withColumn("_word", word)
     return hashed.join(F.broadcast(words), "_word").where(F.col("_bits").bitwiseAND(bit) != 0).select(*rows.columns)
+
+
+def maybe_flagged(rows: DataFrame, column: str, wanted: DataFrame, key: str, log_words: int = 16) -> DataFrame:
+    """The rows with ``_may``: whether their ``column`` may be among ``wanted``; false is sure."""
+    words, word, bit = _filter_words(wanted, key, log_words)
+    hashed = rows.withColumn("_hash", F.xxhash64(column)).withColumn("_word", word)
+    may = F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))
+    return hashed.join(F.broadcast(words), "_word", "left").select(*rows.columns, may.alias("_may"))
+
+
+def join_spread(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, by: str = "doc_id", how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``groups``, which has one row a key and, in ``size``, how many rows have it.
+
+    A key with more than 1 / SHARE of all rows is dealt to as many tasks as its share asks for, by hash of the column
+    ``by`` and of the task (so that a task that runs again deals alike). There are fewer than SHARE such keys, whatever
+    the input, so that the list of them may be broadcast. ``groups`` is a written table, as it is read three times.
+    """
+    total = groups.agg(F.coalesce(F.sum(size), F.lit(0)).cast("double")).first()[0] or 1.0
+    parts = F.ceil(F.col(size) * (SHARE / total)).cast("int")
+    hot = groups.where(F.col(size) * float(SHARE) > total).select(*keys, parts.alias("_parts"))
+    salt = F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64(by, F.spark_partition_id()), F.col("_parts"))).otherwise(0).cast("int")
+    own = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_parts")
+    dealt = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), parts) - 1)))
+    return own.join(dealt, [*keys, "_salt"], how).drop("_salt")
