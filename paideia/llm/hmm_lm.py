@@ -12,7 +12,8 @@ so that counts travel once for each distinct word of a block, not for each token
 
 Results for odd input: null and empty texts consist of their end alone; without training texts all
 counts are 0 and the first model stays; rows that share an id are scored each on its own; null ids
-never train; an empty table gives an empty table; texts of any length are scored whole.
+never train; other columns are ignored, whatever their names; an empty table gives an empty table; texts of any
+length are scored whole, in bounded memory beside the text's own numbers.
 """
 
 from __future__ import annotations
@@ -29,11 +30,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import text_of, written
+from .common import join_spread, text_of, written
 
 STATES, CLASSES, ITERATIONS = 6, 254, 5
-#: UTF-8 bytes of a block, and tokens of the batches that the recursions run over.
-BLOCK_BYTES, BATCH_TOKENS = 16 << 20, 300_000
+#: Bytes of a block, of which each text has ROW_BYTES besides its characters.
+BLOCK_BYTES, ROW_BYTES = 16 << 20, 64
+#: Steps x sequences that the recursions run over at once, and steps whose forward probabilities are kept.
+BATCH_CELLS, SEGMENT = 300_000, 4096
+#: Blocks whose words are summed in one window.
+WINDOW_BLOCKS = 4096
 #: No word holds white space, so this stands for the end; its class is the last one.
 END = b"\n"
 _UNIT = float(1 << 24)  # expected counts are summed as whole numbers of 1 / _UNIT, in any order alike
@@ -75,13 +80,14 @@ class Model:
 
 
 def _batches(sequences: list[np.ndarray]) -> Iterator[np.ndarray]:
-    """Places of the sequences, long ones first, in batches of about BATCH_TOKENS."""
+    """Places of the sequences, long ones first, in batches of at most BATCH_CELLS steps x sequences (or one sequence)."""
     lengths = np.array([len(s) for s in sequences])
     order = np.argsort(-lengths, kind="stable")
-    ends = np.cumsum(lengths[order])
-    for part in np.split(order, np.flatnonzero(np.diff(ends // BATCH_TOKENS)) + 1):
-        if len(part):
-            yield part
+    at = 0
+    while at < len(order):
+        rows = max(1, BATCH_CELLS // int(lengths[order[at]]))
+        yield order[at : at + rows]
+        at += rows
 
 
 def _padded(sequences: list[np.ndarray], part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,39 +118,52 @@ def log_likelihoods(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _forward(model: Model, emit: np.ndarray, steps: np.ndarray, live: np.ndarray, span: range, alpha: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Scaled forward probabilities and scales of the steps in ``span``, from those of the step before."""
+    for t in span:
+        n = live[t]
+        alpha = model.start * emit[steps[0]] if alpha is None else (alpha[:n] @ model.move) * emit[steps[t, :n]]
+        scale = alpha.sum(axis=1, keepdims=True)
+        alpha = alpha / scale
+        yield alpha, scale
+
+
 def expected_counts(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
-    """Baum-Welch counts of the class sequences, flat as start, moves, emissions."""
+    """Baum-Welch counts of the class sequences, flat as start, moves, emissions.
+
+    Of long sequences, only the forward probabilities before each SEGMENT of steps are kept; the backward pass makes
+    those inside a segment again, so that memory doesn't grow with the length.
+    """
     k, c = model.emit.shape
     start, move, emitted = np.zeros(k), np.zeros((k, k)), np.zeros((c, k))
     emit = np.ascontiguousarray(model.emit.T)
     for part in _batches(sequences):
         steps, live = _padded(sequences, part)
-        alphas, scales = [], []
-        alpha = model.start * emit[steps[0]]
-        for t in range(len(steps)):
-            n = live[t]
-            if t:
-                alpha = (alpha[:n] @ model.move) * emit[steps[t, :n]]
-            scale = alpha.sum(axis=1, keepdims=True)
-            alpha = alpha / scale
-            alphas.append(alpha)
-            scales.append(scale)
+        spans = [range(a, min(a + SEGMENT, len(steps))) for a in range(0, len(steps), SEGMENT)]
+        before: list[np.ndarray | None] = [None]
+        for span in spans[:-1]:
+            for alpha, _ in _forward(model, emit, steps, live, span, before[-1]):
+                pass
+            before.append(alpha)
         beta = np.ones((0, k))
-        gammas = [None] * len(steps)
-        for t in range(len(steps) - 1, -1, -1):
-            n = live[t]
-            if len(beta) < n:  # sequences that end here
-                beta = np.concatenate([beta, np.ones((n - len(beta), k))])
-            gammas[t] = alphas[t] * beta
-            if t:
-                onward = beta * emit[steps[t, :n]] / scales[t]
-                move += alphas[t - 1][:n].T @ onward
-                beta = onward @ model.move.T
-        start += gammas[0].sum(axis=0)
-        seen = np.concatenate([steps[t, : live[t]] for t in range(len(steps))])
-        weights = np.concatenate(gammas)
-        for s in range(k):
-            emitted[:, s] += np.bincount(seen, weights[:, s], minlength=c)
+        for span, first in zip(reversed(spans), reversed(before)):
+            alphas, scales = zip(*_forward(model, emit, steps, live, span, first))
+            gammas = [None] * len(span)
+            for t in reversed(span):
+                n, i = live[t], t - span.start
+                if len(beta) < n:  # sequences that end here
+                    beta = np.concatenate([beta, np.ones((n - len(beta), k))])
+                gammas[i] = alphas[i] * beta
+                if t:
+                    onward = beta * emit[steps[t, :n]] / scales[i]
+                    move += (alphas[i - 1] if i else first)[:n].T @ onward
+                    beta = onward @ model.move.T
+            if not span.start:
+                start += gammas[0].sum(axis=0)
+            seen = np.concatenate([steps[t, : live[t]] for t in span])
+            weights = np.concatenate(gammas)
+            for s in range(k):
+                emitted[:, s] += np.bincount(seen, weights[:, s], minlength=c)
     return np.concatenate([start, (move * model.move).ravel(), emitted.T.ravel()])
 
 
@@ -184,7 +203,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found.append(np.fromiter(map(places.__getitem__, own), np.int32, len(own)))
             ids.append(doc_id)
             held.append(h)
-            size += len(text)
+            size += len(text) + ROW_BYTES
             if size >= BLOCK_BYTES:
                 yield from block()
                 ids, held, found, size = [], [], [], 0
@@ -223,6 +242,24 @@ def train(classes: DataFrame, iterations: int = ITERATIONS, states: int = STATES
     return model
 
 
+def _counted(words: DataFrame, texts: DataFrame) -> DataFrame:
+    """block, place, class, trained, c (training occurrences in all blocks), first (one row of each word).
+
+    A word has at most one row for each block, its occurrences there counted. Up to WINDOW_BLOCKS blocks, the rows of
+    a word are summed in one window. More blocks are parted into stretches of about that many; each stretch of a word
+    is summed by itself, and the sums of the stretches are added and joined back.
+    """
+    stretches = -(-texts.select("block").distinct().count() // WINDOW_BLOCKS)
+    by_word = Window.partitionBy("word")
+    if stretches <= 1:
+        return words.select("block", "place", "class", "trained", F.sum("trained").over(by_word).alias("c"), (F.row_number().over(by_word.orderBy("block")) == 1).alias("first"))
+    stretch = F.pmod(F.xxhash64("block"), F.lit(stretches))
+    sums = words.groupBy("word", stretch.alias("stretch")).agg(F.sum("trained").alias("c"), F.count(F.lit(1)).alias("rows"), F.min("block").alias("least"))
+    sums = written(sums.groupBy("word").agg(F.sum("c").alias("c"), F.sum("rows").alias("rows"), F.min("least").alias("least")), "sums")
+    joined = join_spread(words, sums, ["word"], "rows", "block")
+    return joined.select("block", "place", "class", "trained", "c", (F.col("block") == F.col("least")).alias("first"))
+
+
 def score(docs: DataFrame, held_out: Column, iterations: int = ITERATIONS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every whole text.
 
@@ -232,12 +269,7 @@ def score(docs: DataFrame, held_out: Column, iterations: int = ITERATIONS) -> Da
     rows = docs.select(F.col("doc_id").cast("long"), held_out.alias("held_out"), text_of().alias("text"))
     blocks = written(rows.mapInArrow(_index, BLOCKS), "blocks")
     texts = blocks.where("words IS NOT NULL").select("block", "doc_id", "held_out", "words", "classes")
-    # A word has at most one row for each block, its occurrences there counted.
-    word = Window.partitionBy("word")
-    counted = blocks.where("word IS NOT NULL").select(
-        "block", "place", "class", F.sum("trained").over(word).alias("c"), "trained", (F.row_number().over(word.orderBy("block")) == 1).alias("first")
-    )
-    counted = written(counted, "counts")
+    counted = written(_counted(blocks.where("word IS NOT NULL").select("block", "place", "class", "word", "trained"), texts), "counts")
     n_class, v_class = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
     for r in counted.groupBy("class").agg(F.sum("trained").alias("n"), F.count_if(F.col("first") & (F.col("c") > 0)).alias("v")).collect():
         n_class[r["class"]], v_class[r["class"]] = r.n, r.v

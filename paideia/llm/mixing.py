@@ -9,26 +9,34 @@ source with any share of the rows is spread over all tasks. For the cut, only th
 times in which the budget ends is sorted; whole ranges before it are in, those after it are out.
 
 Results for odd input: null text has size 0 and is never taken; a null source is a source of its own
-and comes last; rows that share an id are separate documents; an empty table gives an empty table;
-a corpus without words has targets of 0.
+and comes last; rows that share an id are separate documents, in the order of their size and then of a hash of
+the row; rows without an id are shuffled by that hash; rows that are equal in every column share their copies;
+other columns pass through ``mixed_documents`` untouched, whatever their names; an empty table gives an empty
+table; a corpus without words has targets of 0.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import power_of_two, text_of, written
+from .common import join_spread, power_of_two, text_of, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 ROWS_PER_RANGE = 4096
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"))
+    return docs.select("doc_id", "source", F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"), _row_hash(docs).alias("_key"))
+
+
+def _row_hash(docs: DataFrame) -> Column:
+    """A digest of all columns: rows of one digest are alike."""
+    others = F.to_json(F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"]))
+    return F.md5(F.concat(F.md5(text_of().cast("binary")), F.when(F.col("text").isNull(), "0").otherwise("1"), others).cast("binary"))
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int], share: float, epochs: int) -> DataFrame:
@@ -64,7 +72,13 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5,
 
     ``copies`` is how often the document is in the mix, ``taken`` its words there.
     """
-    sizes = written(sized(docs), "sizes").withColumn("_h", F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")))
+    return planned(docs, weights, share, epochs, seed).drop("_key")
+
+
+def planned(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, epochs: int = 2, seed: str = "mix") -> DataFrame:
+    """The rows of ``mix`` with ``_key``, the digest of the document's row."""
+    drawn = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.col("_key"))).cast("binary"))
+    sizes = written(sized(docs), "sizes").withColumn("_h", drawn)
     total, rows = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
     ranges = power_of_two(rows / ROWS_PER_RANGE, 64, 1 << 20)
     sizes = sizes.withColumn("_range", F.floor(F.conv(F.substring("_h", 1, 5), 16, 10).cast("long") * ranges / (1 << 20)).cast("int"))
@@ -72,7 +86,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5,
     sums = sizes.groupBy("source", "_range").agg(F.sum("size").alias("_sum"))
     earlier = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("source", "_range", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("source", "_range").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "_range").orderBy("_h", "doc_id", "size", "_key").rowsBetween(Window.unboundedPreceding, 0)
     queued = (
         sizes.withColumn("_cum", F.sum("size").over(inside))
         .alias("q")
@@ -80,7 +94,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5,
         .select("q.*", (F.col("_cum") + F.col("_offset")).alias("_served"))
         .alias("q")
         .join(targets.alias("t"), F.col("q.source").eqNullSafe(F.col("t.source")))
-        .select("q.doc_id", "q.source", "size", "_h", "_served", "source_size", "target")
+        .select("q.doc_id", "q.source", "size", "_key", "_h", "_served", "source_size", "target")
     )
     queued = written(queued, "queued")
 
@@ -95,7 +109,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5,
     else:
         last = F.struct(F.lit(cut.finish).cast("double").alias("finish"), F.lit(cut.h).alias("h"), F.lit(cut.epoch).alias("epoch"), F.lit(cut.id).cast(docs.schema["doc_id"].dataType).alias("id"), F.lit(cut.served).cast("long").alias("served"))
         copies = sum((F.when(key(e).getField("finish").isNotNull() & (key(e) <= last), 1).otherwise(0) for e in range(epochs)), F.lit(0))
-    return queued.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), copies.cast("int").alias("copies"))
+    return queued.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), copies.cast("int").alias("copies"), "_key")
 
 
 def _cut(offered: DataFrame, budget: float, ranges: int):
@@ -115,11 +129,12 @@ def _cut(offered: DataFrame, budget: float, ranges: int):
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The input's columns, each document as often as the mix takes it."""
-    plan = mix(docs, **options).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_size"), "copies")
-    # Rows that share id, source and size are alike for the mix; each row gets a share of their copies.
-    plan = plan.groupBy("_id", "_src", "_size").agg(F.max("copies").alias("copies"))
+    # A row's digest is its name: rows that are equal in all columns are one row that the mix takes as often as all of them.
+    plan = planned(docs, **options).groupBy("_key").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")).where("_copies > 0")
+    plan = written(plan, "plan")
     # The rows travel as one struct, so that no column of theirs can clash.
-    words = F.regexp_count(text_of(), F.lit(WORD)).cast("long")
-    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_a"), F.col("source").alias("_b"), words.alias("_words"))
-    same = F.col("_a").eqNullSafe(F.col("_id")) & F.col("_b").eqNullSafe(F.col("_src")) & (F.col("_words") == F.col("_size"))
-    return keyed.join(plan, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), _row_hash(docs).alias("_key"))
+    found = join_spread(keyed, plan, ["_key"], "_rows", "_key")
+    several = found.where("_rows > 1").dropDuplicates(["_key"])
+    taken = found.where("_rows = 1").unionByName(several)
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("_row.*")

@@ -13,6 +13,8 @@ from .sql import ORACLE_SQL
 
 #: Where the public tokenizers' vocabulary files are; a deployment sets its own.
 TOKENIZERS = "public_tokenizers"
+#: The folder of the token counts' cache below the shared folder.
+TOKEN_CACHE = "paideia-token-counts"
 
 
 def tokenizer_path(name: str) -> str:
@@ -28,8 +30,9 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # A cache of its own for each call: every distinct text is encoded here.
-    return token_cache.token_counts(common.documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), common.scratch(spark, "token_counts"))
+    # The cache lies in the shared folder and serves later calls: they encode only texts that no call has met.
+    cache = f"{common.shared_dir(spark).rstrip('/')}/{TOKEN_CACHE}"
+    return token_cache.token_counts(common.documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), cache)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

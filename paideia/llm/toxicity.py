@@ -9,8 +9,9 @@ length, and a logistic curve turns the sums into a score.
 
 Results for odd input: null and empty texts get the score of a text without matches; a label that is
 null teaches nothing; without both labels the lexicon is empty and each score is the share of label 1;
-rows that share an id are scored each on its own; an empty table gives an empty table. Texts are
-matched whole, however long.
+rows that share an id are scored each on its own; of entries that match at one place, the largest weight counts;
+other columns are ignored, whatever their names; an empty table gives an empty table. Texts are
+matched whole, however long, in time and memory in proportion to their length.
 """
 
 from __future__ import annotations
@@ -93,11 +94,23 @@ def measures(automaton, folded: str) -> tuple[int, float, float]:
         else:
             hits[start] = max(weight, hits.get(start, 0.0))
     if excused:
-        hits = {s: w for s, w in hits.items() if not any(a <= s < b for a, b in excused)}
+        hits = _outside(hits, sorted(excused))
     total = sum(hits.values())
     return len(hits), total, 100.0 * total / max(1, folded.count(" ") - 1)
 
 
+def _outside(hits: dict[int, float], spans: list[tuple[int, int]]) -> dict[int, float]:
+    """The hits that start in none of the sorted spans: one sweep over both."""
+    out, at, reach = {}, 0, -1
+    for start in sorted(hits):
+        while at < len(spans) and spans[at][0] <= start:
+            reach = max(reach, spans[at][1])
+            at += 1
+        if start >= reach:
+            out[start] = hits[start]
+    return out
+
+
 def inputs(measured: tuple[int, float, float]) -> tuple[float, float, float]:
     return math.log1p(measured[0]), math.log1p(measured[1]), math.log1p(measured[2])
 
