@@ -3,18 +3,19 @@
 A string of ``LENGTH`` bytes that starts at two places or more is repeated; every byte that a repeated
 string covers is removed. Equal strings choose the same anchor (the least hash of their ``GRAM``-byte
 substrings, the leftmost of equal ones), so that strings need comparing only where anchors are equal.
-The stretch of text whose strings share one anchor is a context. Contexts that occur several times are repeated
-throughout; different contexts of one anchor go to one task, which sorts their suffixes in two stages:
+The stretch of text whose strings share one anchor is a context. Anchors only deal the work: the contexts of one
+anchor go to one task, one that occurs several times as two copies, and the task sorts their suffixes in two stages:
 suffixes smaller than their successors are sorted directly, the others are induced from them by scanning
-the buckets of first bytes in order. Neighbours with a common prefix of LENGTH bytes are repeated.
+the buckets of first bytes in order. Neighbours with a common prefix of LENGTH bytes are repeated; nothing else is.
 
 An anchor with more than ``MOST`` different contexts is not one task's work: its strings are divided by the
 anchor's place in them, halving the range each time, and contexts are regrouped by the bytes that all strings
 of such a range share. A range of one place groups equal strings, so the division always ends.
 
 Results for odd input: null counts as empty; texts shorter than LENGTH stay whole; texts that are equal
-(or rows that are repeated) are repeated throughout and go wholly; overlaps within one text count; an
-empty table gives an empty table; texts of any length are searched whole.
+(or rows that are repeated, or that share an id) are repeated throughout and go wholly; overlaps within one text
+count; other columns are ignored, whatever their names; an empty table gives an empty table; texts of any length are
+searched whole.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import join_spread, maybe_flagged, text_of, written
 
 LENGTH, GRAM = 200, 32
 #: Different contexts of one anchor that one task compares, and bytes of contexts that it sorts at once.
@@ -190,17 +191,19 @@ def _sort_shard(length: int):
         table = table.sort_by("key")
         keys = table.column("key").to_numpy()
         contexts = table.column("ctx").to_pylist()
-        single = table.column("n").to_numpy() == 1
+        copies = np.minimum(table.column("n").to_numpy(), 2)
         off, sid = table.column("off").to_numpy(), table.column("sid").to_pylist()
         edges = np.append(np.flatnonzero(np.diff(keys)) + 1, len(keys))
         out, start, size, at = ([], [], []), 0, 0, 0
         for edge in edges:
-            size += sum(map(len, contexts[at:edge]))
+            size += sum(len(contexts[i]) * copies[i] for i in range(at, edge))
             at = edge
             if size < SORT_BYTES and edge < len(keys):
                 continue
-            for i, mask in zip(range(start, edge), repeated_starts(contexts[start:edge], length)):
-                if single[i] and mask.any():
+            # What occurs more than twice is as repeated as what occurs twice.
+            places = [i for i in range(start, edge) for _ in range(copies[i])]
+            for k, (i, mask) in enumerate(zip(places, repeated_starts([contexts[i] for i in places], length))):
+                if (not k or places[k - 1] != i) and mask.any():
                     first, last = _runs(mask)
                     out[0].extend([sid[i]] * len(first))
                     out[1].extend((off[i] - last).tolist())
@@ -212,12 +215,12 @@ def _sort_shard(length: int):
 
 
 def _resolve(contexts: DataFrame, length: int, gram: int, width: int) -> DataFrame:
-    """sid, l_lo, l_hi: ranges of repeated strings by the anchor's place in them.
+    """sid, l_lo, l_hi: ranges of repeated strings by the anchor's place in them, as the sorted suffixes say.
 
     ``contexts`` has sid, key, off (the anchor's place), ctx and n (how often it occurs); it is a written table.
     """
-    sizes = contexts.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    some = contexts.join(sizes, "key")
+    sizes = contexts.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("most")).where("m > 1 OR most > 1").drop("most")
+    some = join_spread(contexts, written(sizes, "sizes"), ["key"], "m", "sid")
     total = contexts.agg(F.coalesce(F.sum(F.octet_length("ctx")), F.lit(0))).first()[0]
     shards = max(8, int(total >> 21))
     sorted_ = some.where(F.col("m") <= MOST).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
@@ -232,19 +235,16 @@ def _resolve(contexts: DataFrame, length: int, gram: int, width: int) -> DataFra
     parts = parts.withColumn("a", F.expr(f"cast(greatest(lo, cell * {half}) as int)")).withColumn("b", F.expr(f"cast(least(hi, cell * {half} + {half - 1}) as int)"))
     parts = parts.withColumn("shared", F.expr(f"substring(ctx, cast(off - cell * {half} + 1 as int), cast({length - half + 1} as int))"))
     parts = parts.withColumn("sub", F.expr(f"substring(ctx, off - b + 1, b - a + {length})"))
-    parts = parts.select(F.col("sid").alias("whole"), F.xxhash64("key", "cell", "shared").alias("key"), F.col("b").alias("off"), F.col("sub").alias("ctx"), "n", "a", "b")
+    parts = parts.select(F.col("sid").alias("whole"), F.xxhash64("key", "cell", "shared").alias("key"), F.col("b").alias("off"), F.col("sub").alias("ctx"), "n")
     parts = written(parts.withColumn("sid", F.unhex(F.md5(F.concat("ctx", F.encode(F.concat(F.lit(":"), F.col("off").cast("string"), F.lit(":"), F.col("key").cast("string")), "utf-8"))))), "parts")
     below = written(parts.groupBy("sid", "key").agg(F.first("off").alias("off"), F.first("ctx").alias("ctx"), F.sum("n").alias("n")), "contexts")
     deeper = _resolve(below, length, gram, half)
-    twice = below.where("n > 1").select("sid")
-    members = parts.select("whole", "sid", "a", "b")
-    inner = members.join(deeper, "sid").select(F.col("whole").alias("sid"), "l_lo", "l_hi")
-    outer = members.join(twice, "sid", "left_semi").select(F.col("whole").alias("sid"), F.col("a").alias("l_lo"), F.col("b").alias("l_hi"))
-    return written(found.unionByName(inner).unionByName(outer), "repeats")
+    inner = parts.select("whole", "sid").join(deeper, "sid").select(F.col("whole").alias("sid"), "l_lo", "l_hi")
+    return written(found.unionByName(inner), "repeats")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """tkey (a digest of the text), spans (array of start, end): what repeated strings cover, not yet merged."""
+    """tkey (a digest of the text), spans (array of start, end): what repeated strings cover, not yet merged; rows that have the text."""
     spark = docs.sparkSession
     text = text_of()
     rows = docs.select(F.substring(F.unhex(F.sha2(text.cast("binary"), 256)), 1, 16).alias("tkey"), text.alias("text")).where(F.octet_length("text") >= length)
@@ -267,8 +267,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
 
     found = written(_scan(rows, candidates, "tkey binary, hash long, p long, lo long, hi long, sid binary"), "candidates")
     counts = written(found.groupBy("hash", "sid").agg(F.count(F.lit(1)).alias("n")), "counts")
-    mixed = counts.groupBy("hash").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("hash")
-    needed = written(counts.join(mixed, "hash", "left_semi").withColumn("s64", F.conv(F.hex(F.substring("sid", 1, 7)), 16, 10).cast("long")), "needed")
+    mixed = counts.groupBy("hash").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("most")).where("m > 1 OR most > 1").select("hash", "m")
+    needed = join_spread(counts, written(mixed, "mixed"), ["hash"], "m", "sid").drop("m")
+    needed = written(needed.withColumn("s64", F.conv(F.hex(F.substring("sid", 1, 7)), 16, 10).cast("long")), "needed")
     chosen = spark.sparkContext.broadcast(_bloom(needed, "s64"))
 
     def contexts(key, raw, state):
@@ -289,10 +290,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     texts = _scan(rows, contexts, "key long, sid binary, off int, ctx binary").groupBy("sid").agg(F.first("key").alias("key"), F.first("off").alias("off"), F.first("ctx").alias("ctx"))
     distinct = written(texts.join(needed.select("sid", "n"), "sid"), "contexts")
     inside = _resolve(distinct, length, gram, length - gram + 1)
-    whole = found.join(counts.where("n > 1").select("sid"), "sid", "left_semi").select("tkey", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
-    parts = found.join(inside, "sid").select("tkey", (F.col("p") - F.col("l_hi")).alias("start"), (F.col("p") - F.col("l_lo") + length).alias("end"))
-    # A text has as many spans as it has anchors at most; equal texts share theirs.
-    return whole.unionByName(parts).distinct().groupBy("tkey").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    # A context has as many ranges as it has places at most, a text as many spans as it has anchors; equal texts share theirs.
+    ranges = inside.groupBy("sid").agg(F.collect_list(F.struct("l_lo", "l_hi")).alias("ranges")).join(counts.select("sid", "n"), "sid")
+    each = join_spread(found.select("tkey", "sid", "p"), written(ranges, "ranges"), ["sid"], "n", "p").select("tkey", "p", F.inline("ranges"))
+    spans = each.select("tkey", (F.col("p") - F.col("l_hi")).alias("start"), (F.col("p") - F.col("l_lo") + length).alias("end")).distinct()
+    # The first anchor of a text that several rows have is a candidate in each of them.
+    rows_of = found.where("lo = 0").groupBy("tkey").agg(F.count(F.lit(1)).alias("rows"))
+    grouped = spans.groupBy("tkey").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    return grouped.join(rows_of, "tkey", "left").select("tkey", "spans", F.coalesce("rows", F.lit(1)).alias("rows"))
 
 
 def _sid(ctx: bytes, off: int) -> bytes:
@@ -316,11 +321,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     spans = written(repeated_spans(docs, length, gram), "spans")
     text = text_of()
     rows = docs.select("doc_id", F.substring(F.unhex(F.sha2(text.cast("binary"), 256)), 1, 16).alias("tkey"), text.alias("text"))
-    # A Bloom filter of a fixed size parts the texts that surely stay whole; only the others are shuffled.
-    place = F.xxhash64("tkey")
-    bit = F.expr("shiftleft(1L, cast(shiftright(xxhash64(tkey), 16) & 63 as int))")
-    words = spans.select(place.bitwiseAND(0xFFFF).alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    parted = rows.withColumn("_word", place.bitwiseAND(0xFFFF)).join(F.broadcast(words), "_word", "left").withColumn("_may", F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False)))
+    # A filter of a fixed size parts the texts that surely stay whole; only the others are shuffled.
+    parted = maybe_flagged(rows, "tkey", spans, "tkey")
     own = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {own}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     whole = parted.where("NOT _may").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), F.col("text").cast("binary").alias("kept"))
@@ -337,5 +339,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([o[i] for o in out], t) for i, t in enumerate(types))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    touched = parted.where("_may").join(spans, "tkey", "left").select("doc_id", "text", "spans").mapInArrow(cut, schema)
+    touched = join_spread(parted.where("_may").select("doc_id", "tkey", "text"), spans, ["tkey"], "rows", how="left").select("doc_id", "text", "spans").mapInArrow(cut, schema)
     return whole.unionByName(touched)
