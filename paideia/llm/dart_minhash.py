@@ -1,45 +1,48 @@
 """Near-duplicate detection by DartMinHash signatures and banded joins.
 
-A document is a weighted set: its five-word shingles with their multiplicities. Each unit of weight of
-an element is a region of the plane (weight x rank), cut into dyadic strips of rank. A hash of element,
-unit and strip says how many darts fell into that region (Poisson, in proportion to its area), and
-hashes of each dart give its coordinate, weight and rank. A signature keeps, for each coordinate, the
-dart of lowest rank; two documents agree in a coordinate with a probability equal to their weighted
-Jaccard similarity. The strips are thrown from the lowest rank until every coordinate has a dart.
-
-Equal texts are one class before anything is compared. Coordinates are banded; documents that share a
-band are candidates, and a pair is a link only if the similarity of the shingles themselves reaches the
-threshold. With 20 bands of 4, a pair at 0.8 shares no band with a probability of 3 in 100,000. Buckets of up to
-``SMALL`` members compare all; in larger ones, each member is compared with the lowest id, and those
+A document is a weighted set: its five-word shingles with their multiplicities. The weights from 0 on are cut into
+dyadic levels ([0, 1), [1, 2), [2, 4) ...), the ranks into dyadic strips; an element has a region in each strip for each
+level that its weight reaches, so that its cost grows with the logarithm of its weight. A hash of element, level and
+strip says how many darts fell into a region (Poisson, in proportion to its area), and hashes of each dart give its
+coordinate, weight and rank; darts above the element's weight miss. A signature keeps, for each coordinate, the dart of
+lowest rank; two documents agree in a coordinate with a probability equal to their weighted Jaccard similarity. The
+strips are thrown from the lowest rank until every coordinate has a dart.
+
+Equal texts are one class before anything is compared. Coordinates are banded; texts that share a band are candidates,
+and a pair is a link only if the similarity of the shingles themselves reaches the threshold. With 20 bands of 4, a pair
+at 0.8 shares no band with a probability of 3 in 100,000. Shingles are compared by 32 bits of their hashes: of two texts
+of n and m shingles, about n m / 2 ** 32 unlike ones count as alike, which is less than one for texts below 65,000 words.
+Buckets of up to ``SMALL`` members compare all; in larger ones, each member is compared with the lowest node, and those
 that this doesn't link meet again in buckets of two bands at most five apart (any four common bands hold such two).
 What is left is exact: in each large bucket whose members are of several classes by then, those outside the
-most common class are queries against all members. Both sides are dealt to blocks of bounded bytes by hash of the id; a
+most common class are queries against all members. Both sides are dealt to blocks of bounded size by hash; a
 task holds one block of each, counts common shingles through an inverted index, and returns only links that join
-classes. Classes are the connected components.
+classes. Classes are the connected components of all links; which way a link was found changes no class.
 
 Results for odd input: null counts as empty; texts without words are similar to equal texts only;
 texts of one to four words have one shingle, all their words; rows that share a text are one class, and
-a class's id is its lowest document id; rows without an id follow their text's class (null if no such
-row has an id); rows that share an id but not their text are one document with two texts and so one
-class; an empty table gives an empty table.
+a class's id is its lowest document id (null if no row of it has one); rows that share an id but not their text are
+texts of their own and may be in different classes; other columns are ignored, whatever their names; an empty table
+gives an empty table. Texts of any length are taken whole: words are hashed in pieces of bounded size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_among, text_of, written
+from .common import join_spread, maybe_among, maybe_flagged, text_of, written
 
 WORDS, THRESHOLD, BANDS, ROWS, SMALL = 5, 0.8, 20, 4, 16
 #: Any four of 20 bands hold two that are at most five apart, counted around.
 NEXT = 5
-#: Bytes of shingles in a block of a large bucket, about.
-BLOCK = 8 << 20
+#: Bytes of shingles and members in a block of a large bucket, about.
+BLOCK, BLOCK_ROWS = 8 << 20, 1000
 #: log2 of the lowest strip's upper rank.
 _FIRST_STRIP = -9
 #: Bytes of text that are worked on at once.
@@ -60,8 +63,25 @@ def _unit(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
+def _pieces(text: bytes) -> Iterator[bytes]:
+    """A text cut at white space into pieces of about _CHUNK bytes."""
+    start = 0
+    while len(text) - start > _CHUNK:
+        end = min((at for at in (text.find(c, start + _CHUNK) for c in (b" ", b"\n", b"\t")) if at >= 0), default=len(text))
+        yield text[start:end]
+        start = end
+    yield text[start:]
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts, and the text that each is of."""
+    if sum(map(len, texts)) <= 2 * _CHUNK:
+        return _hashed(texts)
+    found = [(k, _hashed([piece])[0]) for k, text in enumerate(texts) for piece in _pieces(text)]
+    return np.concatenate([h for _, h in found]), np.repeat([k for k, _ in found], [len(h) for _, h in found])
+
+
+def _hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     solid = ~_SPACE[raw]
     at = np.flatnonzero(solid)
@@ -97,6 +117,7 @@ def shingles(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
     return out
 
 
+@cache
 def _poisson_table(mean: float) -> np.ndarray:
     """Cumulative probabilities of 0, 1, 2 ... darts."""
     from math import exp, lgamma, log
@@ -105,28 +126,37 @@ def _poisson_table(mean: float) -> np.ndarray:
     return np.cumsum([exp(-mean + k * log(mean) - lgamma(k + 1)) for k in range(n)])
 
 
+def _levels(weights: np.ndarray) -> np.ndarray:
+    """How many levels each weight reaches: [0, 1) is level 0, [2 ** (k - 1), 2 ** k) is level k."""
+    return 1 + np.ceil(np.log2(np.maximum(weights, 1.0))).astype(np.int64)
+
+
 def signatures(sets: list[tuple[np.ndarray, np.ndarray]], size: int) -> np.ndarray:
     """One row of ``size`` dart hashes for each weighted set (elements, weights above 0); all sets not empty."""
     n = len(sets)
     out = np.zeros((n, size), np.uint64)
     filled = np.zeros((n, size), bool)
-    units = [np.ceil(w).astype(np.int64) for _, w in sets]
-    owner = np.repeat(np.arange(n), [int(u.sum()) for u in units])
-    each = np.concatenate(units)
-    element = np.repeat(np.concatenate([e for e, _ in sets]), each)
-    weight = np.repeat(np.concatenate([np.asarray(w, float) for _, w in sets]), each)
-    unit = np.arange(len(element)) - np.repeat(np.cumsum(each) - each, each)
-    region = mixed(element ^ mixed(unit.astype(np.uint64) + _MIX[2]))
+    sizes = np.array([len(e) for e, _ in sets])
+    elements, weights = np.concatenate([e for e, _ in sets]), np.concatenate([np.asarray(w, float) for _, w in sets])
+    reach = _levels(weights)
+    owner = np.repeat(np.repeat(np.arange(n), sizes), reach)
+    level = np.arange(len(owner)) - np.repeat(np.cumsum(reach) - reach, reach)
+    weight = np.repeat(weights, reach)
+    region = mixed(np.repeat(elements, reach) ^ mixed(level.astype(np.uint64) + _MIX[2]))
+    floor = np.where(level > 0, 2.0 ** (level - 1), 0.0)  # the level's least weight, and its width
+    width = np.where(level > 0, floor, 1.0)
     strip = _FIRST_STRIP
     low, high = 0.0, 2.0**strip
     while len(owner):
-        table = _poisson_table(size * (high - low))
         base = mixed(region ^ mixed(np.uint64(1000 + strip) * np.ones(1, np.uint64))[0])
-        thrown = np.searchsorted(table, _unit(base), "right")
+        thrown = np.empty(len(owner), np.int64)
+        for w in np.unique(width):
+            at = width == w
+            thrown[at] = np.searchsorted(_poisson_table(size * (high - low) * float(w)), _unit(base[at]), "right")
         of = np.repeat(np.arange(len(owner)), thrown)
         nth = np.arange(len(of)) - np.repeat(np.cumsum(thrown) - thrown, thrown)
         dart = mixed(base[of] + (nth.astype(np.uint64) + np.uint64(1)) * _MIX[2])
-        inside = unit[of] + _unit(mixed(dart + _MIX[1])) < weight[of]
+        inside = floor[of] + width[of] * _unit(mixed(dart + _MIX[1])) < weight[of]
         of, dart = of[inside], dart[inside]
         rank = low + (high - low) * _unit(mixed(dart + _MIX[0]))
         place = owner[of] * size + (dart % np.uint64(size)).astype(np.int64)
@@ -135,9 +165,8 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], size: int) -> np.ndarr
         new = ~filled.ravel()[places]
         out.ravel()[places[new]] = dart[order][at[new]]
         filled.ravel()[places] = True
-        left = ~filled.all(axis=1)
-        keep = left[owner]
-        owner, region, unit, weight = owner[keep], region[keep], unit[keep], weight[keep]
+        keep = ~filled.all(axis=1)[owner]
+        owner, region, weight, floor, width = owner[keep], region[keep], weight[keep], floor[keep], width[keep]
         strip += 1
         low, high = high, 2.0**strip
     return out
@@ -190,7 +219,7 @@ def _grams(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (p for batch in batches for p in _chunks(batch, 1)):
             found = shingles([t.encode() for t in part.column(1).to_pylist()], words)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([(s >> np.uint64(32)).astype("<u4").tobytes() for s in found], pa.binary())], ["rep", "grams"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([(s >> np.uint64(32)).astype("<u4").tobytes() for s in found], pa.binary())], ["digest", "grams"])
 
     return run
 
@@ -233,7 +262,9 @@ def _pairs(members: DataFrame) -> DataFrame:
 def connected(links: DataFrame) -> DataFrame:
     """node, root (lowest node of its component) for all nodes of the links (a, b), by alternating stars."""
     edges = written(links.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).where("u <> v").distinct(), "edges")
-    while True:
+    mark = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    was = mark(edges)
+    while was[0]:
         # Large star: every neighbour above u points to the least of u's neighbourhood.
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -241,11 +272,11 @@ def connected(links: DataFrame) -> DataFrame:
         # Small star: u and its lower neighbours point to the least of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        after = written(small, "edges")
-        ends = [e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for e in (edges, after)]
-        edges = after
-        if ends[0] == ends[1]:
+        edges = written(small, "edges")
+        now = mark(edges)
+        if now == was:
             break
+        was = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
@@ -299,16 +330,17 @@ def _block(threshold: float):
     return run
 
 
-def _rest(large: DataFrame, roots: DataFrame, keyed: DataFrame, words: int, threshold: float) -> DataFrame:
+def _rest(large: DataFrame, roots: DataFrame, reps: DataFrame, keyed: DataFrame, words: int, threshold: float) -> DataFrame:
     """Links that join the classes found so far, among all pairs of members of a large bucket (key, rep)."""
     rows = large.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
     counted = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     main = counted.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("classes")).where("classes > 1").drop("classes")
     rows = written(rows.join(main, "key").withColumn("asks", F.col("root") != F.col("main")), "rest")
-    grams = _grams_of(rows.select(F.col("rep").alias("id")).distinct(), keyed, words)
+    grams = _grams_of(rows.select(F.col("rep").alias("id")).distinct(), reps, keyed, words)
     size = F.length("grams")
     sized = written(rows.join(grams, "rep"), "rest_grams")
-    blocks = sized.groupBy("key").agg(*[F.greatest(F.lit(1), F.ceil(F.coalesce(F.sum(s), F.lit(0)) / BLOCK)).cast("int").alias(n) for n, s in (("_all", size), ("_asking", F.when(F.col("asks"), size)))])
+    share = size / BLOCK + 1 / BLOCK_ROWS  # of a block
+    blocks = sized.groupBy("key").agg(*[F.greatest(F.lit(1), F.ceil(F.coalesce(F.sum(s), F.lit(0.0)))).cast("int").alias(n) for n, s in (("_all", share), ("_asking", F.when(F.col("asks"), share)))])
     dealt = sized.join(blocks, "key")
     of = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -318,42 +350,72 @@ def _rest(large: DataFrame, roots: DataFrame, keyed: DataFrame, words: int, thre
     return written(met.groupBy("key", "_block", "_query").applyInArrow(_block(threshold), "a long, b long").where("a <> b").distinct(), "links")
 
 
-def _grams_of(ids: DataFrame, keyed: DataFrame, words: int) -> DataFrame:
-    """rep, grams (sorted shingles) of the texts with these ids."""
-    texts = maybe_among(keyed.select(F.col("doc_id").alias("rep"), "text"), "rep", ids, "id")
-    return written(texts.mapInArrow(_grams(words), "rep long, grams binary").dropDuplicates(["rep"]).join(ids, F.col("rep") == F.col("id"), "left_semi"), "grams")
+def _grams_of(ids: DataFrame, reps: DataFrame, keyed: DataFrame, words: int) -> DataFrame:
+    """rep, grams (sorted shingles) of the nodes with these ids."""
+    wanted = written(reps.select("digest", "rep").join(ids, F.col("rep") == F.col("id"), "left_semi"), "wanted")
+    texts = maybe_among(keyed.select("digest", "text"), "digest", wanted, "digest")
+    each = texts.mapInArrow(_grams(words), "digest binary, grams binary").dropDuplicates(["digest"])
+    return written(each.join(wanted, "digest").select("rep", "grams"), "grams")
 
 
-def _verified(pairs: DataFrame, keyed: DataFrame, words: int, threshold: float) -> DataFrame:
+def _verified(pairs: DataFrame, reps: DataFrame, keyed: DataFrame, words: int, threshold: float) -> DataFrame:
     """The links among the pairs, which are a written table."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    return written(_links(pairs, _grams_of(ids, keyed, words), threshold), "links")
+    return written(_links(pairs, _grams_of(ids, reps, keyed, words), threshold), "links")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """A row per document: doc_id, class_id, links (found links of its text to other texts), kept (class_id is its id).
+    """A row per document: doc_id, class_id, class_size (its documents), kept (class_id is its id)."""
+    members, classes = _classes(docs, threshold, words, bands, rows)
+    found = join_spread(members, classes, ["digest"], "copies")
+    return found.select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
-    In large buckets ``links`` counts the links that were needed to find classes, not all links inside a class.
+
+def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """The input's rows and columns without near duplicates: of each class, one row with its lowest id stays.
+
+    Rows that are one of a class's rows with that id are told apart by their text (the least digest) and else at random.
+    Documents that share no class with another row never move.
     """
+    _, classes = _classes(docs, threshold, words, bands, rows)
+    several = written(classes.where("class_size > 1"), "several")
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("_row")
+    keyed = maybe_flagged(docs.select(row, F.col("doc_id").cast("long").alias("_id"), _digest().alias("digest")), "digest", several, "digest")
+    found = join_spread(keyed.where("_may").drop("_may"), several, ["digest"], "copies", "_id", "left")
+    alone = found.where("class_size IS NULL").select("_row.*")  # the filter let it pass by chance
+    stays = found.where("class_size > 1").where((F.col("digest") == F.col("kept_digest")) & F.col("_id").eqNullSafe(F.col("class_id")))
+    return keyed.where("NOT _may").select("_row.*").unionByName(alone).unionByName(stays.dropDuplicates(["digest"]).select("_row.*"))
+
+
+def _digest() -> Column:
+    return F.unhex(F.sha2(text_of().cast("binary"), 256))
+
+
+def _classes(docs: DataFrame, threshold: float, words: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, digest of all documents; and a row for each distinct text: digest, copies (documents that have it),
+    class_id, class_size, kept_digest (the least text of those with the class's id)."""
     text = text_of()
-    keyed = docs.select(F.col("doc_id").cast("long"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"), text.alias("text"))
+    keyed = docs.select(F.col("doc_id").cast("long"), _digest().alias("digest"), text.alias("text"))
     sketches = written(keyed.mapInArrow(_sketch(words, bands, rows), "doc_id long, digest binary, bands array<long>"), "sketches")
-    reps = written(sketches.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "reps")
-    filled = reps.where("rep IS NOT NULL AND size(bands) > 0")
+    # A node is a distinct text; its number is fixed as the table is written.
+    texts = sketches.groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
+    reps = written(texts.withColumn("rep", F.monotonically_increasing_id()), "reps")
+    filled = reps.where("size(bands) > 0").select("rep", "bands")
     members = _buckets(filled.select(F.explode("bands").alias("key"), "rep"))  # a band's hash holds its number
     tried = written(_pairs(members), "pairs")
-    links = _verified(tried, keyed, words, threshold)
-    # Members of large buckets that aren't like the lowest id meet again where one of the next NEXT bands agrees, too.
-    rest = members.where((F.col("n") > SMALL) & (F.col("rep") > F.col("least"))).join(links.select(F.col("a").alias("least"), F.col("b").alias("rep")), ["least", "rep"], "left_anti")
-    at = F.array_position("bands", F.col("key")).cast("int") - 1
-    again = rest.join(filled, "rep").withColumn("_at", at).select("rep", F.explode(F.array(*[F.xxhash64("key", F.get("bands", (F.col("_at") + d) % bands)) for d in range(1, NEXT + 1)])).alias("key"))
-    more = written(_pairs(_buckets(again)).join(tried, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionByName(_verified(more, keyed, words, threshold))
-    large = members.where(F.col("n") > SMALL).select("key", "rep")
-    links = links.unionByName(_rest(large, written(connected(links), "roots"), keyed, words, threshold)).distinct()
-    roots = connected(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
-    texts = reps.select("digest", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
-    classes = texts.select("digest", F.coalesce("root", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
-    found = sketches.select("doc_id", "digest").join(classes, "digest")
-    return found.select("doc_id", "class_id", "links", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    links = _verified(tried, reps, keyed, words, threshold)
+    large = members.where(F.col("n") > SMALL)
+    if not large.isEmpty():
+        # Members of large buckets that aren't like the lowest one meet again where one of the next NEXT bands agrees, too.
+        rest = large.where(F.col("rep") > F.col("least")).join(links.select(F.col("a").alias("least"), F.col("b").alias("rep")), ["least", "rep"], "left_anti")
+        at = F.array_position("bands", F.col("key")).cast("int") - 1
+        again = rest.join(filled, "rep").withColumn("_at", at).select("rep", F.explode(F.array(*[F.xxhash64("key", F.get("bands", (F.col("_at") + d) % bands)) for d in range(1, NEXT + 1)])).alias("key"))
+        more = written(_pairs(_buckets(again)).join(tried, ["a", "b"], "left_anti"), "pairs")
+        links = links.unionByName(_verified(more, reps, keyed, words, threshold))
+        links = links.unionByName(_rest(large.select("key", "rep"), written(connected(links), "roots"), reps, keyed, words, threshold))
+    rooted = reps.select("digest", "rep", "least_id", "copies").join(connected(links).withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    rooted = written(rooted, "rooted")
+    first = F.struct(F.col("least_id").isNull(), "least_id", "digest")
+    whole = rooted.groupBy("root").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"), F.min(first)["digest"].alias("kept_digest"), F.count(F.lit(1)).alias("texts"))
+    classes = join_spread(rooted, written(whole, "whole"), ["root"], "texts", "rep")
+    return sketches.select("doc_id", "digest"), written(classes.select("digest", "copies", "class_id", "class_size", "kept_digest"), "classes")
