@@ -338,7 +338,7 @@ def _cornered(spark, images):
     for i, corners in images.items():
         flips = [[sum(1 << (63 - b + o) for b in bits if o <= b < o + 64) for o in (0, 64)] for _, bits in corners]
         words_of = [[int(np.int64(words[n, k]) ^ np.uint64(f[k]).astype(np.int64)) for k in (0, 1)] for (n, _), f in zip(corners, flips)]
-        rows.append((i, [(20.0 + 10 * n, 20.0 + 7 * n, 1.0, *w) for (n, _), w in zip(corners, words_of)]))
+        rows.append((i, [(20.0 + 10 * n, 20.0 + 7 * n, 1.0, 3, *w) for (n, _), w in zip(corners, words_of)]))
     return spark.createDataFrame(rows, f"class_id long, corners {media.CORNER}")
 
 
