@@ -2,23 +2,25 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and returns rows
 with the columns of ``documents``, but for the last one, which returns doc_id, n_tokens, ids_sha256 and
-decoded_sha256. ``run`` writes each stage to the shared folder and reads it again.
+decoded_sha256. ``run`` writes each stage to the shared folder and reads it again; what a stage wrote for itself, and the
+table before it, go when its result is written.
 
-Odd input: null and letterless texts end at the first stage (they have no language); rows that share id
-and text are one document; an empty table stays empty; columns besides those of ``documents`` pass through.
+Odd input: null and letterless texts end at the first stage (they have no language), as do texts that are far from
+all learned languages; without any labelled row all texts with a letter stay. Rows that share id and text are one
+document; rows that share an id but not their text are documents of their own; rows without an id are compared like all
+others. An empty table stays empty; columns besides those of ``documents`` pass through, whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from paideia.llm import bpe, common, dart_minhash, exact_dedup, langid, mixing
 from paideia.llm.queries import TOKENIZERS, tokenizer_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in which a language can be told; those without any letter go."""
+    """Keeps documents in one of the labelled languages, as their n-grams say; those without any letter go."""
     profiles = langid.learn_profiles(docs)
     return langid.keep_identified(docs, profiles)
 
@@ -30,10 +32,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps, of each class of near duplicates, the document with the lowest id."""
-    found = dart_minhash.near_duplicates(docs)
-    gone = found.where(~F.col("kept")).select("doc_id")
-    # Documents that go are few beside those that stay; ids that are null are in no class and stay.
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return dart_minhash.drop_near_duplicates(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +53,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.documents(spark, sf_dir)
+    docs, before = common.documents(spark, sf_dir), None
     for name, stage in STAGES:
-        docs = common.written(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        path = common.scratch(spark, name.replace(" ", "_"))
+        with common.scratch_scope(spark):
+            found = stage(spark, docs, sf_dir)
+            found.write.parquet(path)
+        if before is not None:
+            common.delete(spark, before)
+        docs, before = spark.read.schema(found.schema).parquet(path), path
     return docs
