@@ -60,6 +60,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             found = stage(spark, docs, sf_dir)
             found.write.parquet(path)
         if before is not None:
-            common.delete(spark, before)
+            common.delete(spark, before.rsplit("/", 1)[0])
         docs, before = spark.read.schema(found.schema).parquet(path), path
     return docs
