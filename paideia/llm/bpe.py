@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import in_arrow, text_of
 
 #: Distinct pieces that a task remembers, and the longest piece that it does.
 CACHE_PIECES, CACHE_LENGTH = 250_000, 48
@@ -233,7 +233,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             ids = pa.array([own.encode(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).transform(in_arrow, run, "doc_id long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -245,7 +245,7 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
             raw = pa.array([own.decode(ids or []) for ids in batch.column(1).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), raw], ["doc_id", "decoded"])
 
-    return encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, decoded binary")
+    return encoded.select(F.col("doc_id").cast("long"), "ids").transform(in_arrow, run, "doc_id long, decoded binary")
 
 
 def encoding_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -260,4 +260,4 @@ def encoding_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
         own.pieces.clear()  # the worker may serve other operators next
 
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).transform(in_arrow, run, SCHEMA)

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 #: A key with more than this part of all rows is dealt to several tasks.
 SHARE = 4000
+#: Bytes of a batch that goes to Python.
+BATCH_BYTES = 8 << 20
 _scopes: list[list[str]] = []
 
 
@@ -67,6 +70,22 @@ def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Dat
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_arrow(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``rows.mapInArrow`` with batches of at most BATCH_BYTES or so, whose memory goes back when a task ends.
+
+    The bound is the session's, as no query can set its own; a smaller one stays. A text that is longer is a batch of its own.
+    """
+    spark, name = rows.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()  # a worker that waits for its next task holds nothing
+
+    return rows.mapInArrow(bounded, schema)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

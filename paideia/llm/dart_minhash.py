@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_spread, maybe_among, maybe_flagged, text_of, written
+from .common import in_arrow, join_spread, maybe_among, maybe_flagged, text_of, written
 
 WORDS, THRESHOLD, BANDS, ROWS, SMALL = 5, 0.8, 20, 4, 16
 #: Any four of 20 bands hold two that are at most five apart, counted around.
@@ -241,7 +241,7 @@ def _links(pairs: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
     """Those of the pairs (a, b) whose shingles reach the threshold."""
     left = grams.select(F.col("rep").alias("a"), F.col("grams").alias("x"))
     right = grams.select(F.col("rep").alias("b"), F.col("grams").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(threshold), "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").transform(in_arrow, _verify(threshold), "a long, b long")
 
 
 def _buckets(rows: DataFrame) -> DataFrame:
@@ -354,7 +354,7 @@ def _grams_of(ids: DataFrame, reps: DataFrame, keyed: DataFrame, words: int) ->
     """rep, grams (sorted shingles) of the nodes with these ids."""
     wanted = written(reps.select("digest", "rep").join(ids, F.col("rep") == F.col("id"), "left_semi"), "wanted")
     texts = maybe_among(keyed.select("digest", "text"), "digest", wanted, "digest")
-    each = texts.mapInArrow(_grams(words), "digest binary, grams binary").dropDuplicates(["digest"])
+    each = texts.transform(in_arrow, _grams(words), "digest binary, grams binary").dropDuplicates(["digest"])
     return written(each.join(wanted, "digest").select("rep", "grams"), "grams")
 
 
@@ -396,7 +396,7 @@ def _classes(docs: DataFrame, threshold: float, words: int, bands: int, rows: in
     class_id, class_size, kept_digest (the least text of those with the class's id)."""
     text = text_of()
     keyed = docs.select(F.col("doc_id").cast("long"), _digest().alias("digest"), text.alias("text"))
-    sketches = written(keyed.mapInArrow(_sketch(words, bands, rows), "doc_id long, digest binary, bands array<long>"), "sketches")
+    sketches = written(keyed.transform(in_arrow, _sketch(words, bands, rows), "doc_id long, digest binary, bands array<long>"), "sketches")
     # A node is a distinct text; its number is fixed as the table is written.
     texts = sketches.groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
     reps = written(texts.withColumn("rep", F.monotonically_increasing_id()), "reps")

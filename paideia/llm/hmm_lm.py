@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import join_spread, text_of, written
+from .common import in_arrow, join_spread, text_of, written
 
 STATES, CLASSES, ITERATIONS = 6, 254, 5
 #: Bytes of a block, of which each text has ROW_BYTES besides its characters.
@@ -231,7 +231,7 @@ def train(classes: DataFrame, iterations: int = ITERATIONS, states: int = STATES
                 total += expected_counts(held.value, _sequences(batch.column(0)))
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(np.rint(total * _UNIT).astype(np.int64))], ["i", "v"])
 
-        sums = classes.mapInArrow(count, "i int, v long").groupBy("i").agg(F.sum(F.col("v").cast("decimal(38,0)")).alias("v")).collect()
+        sums = classes.transform(in_arrow, count, "i int, v long").groupBy("i").agg(F.sum(F.col("v").cast("decimal(38,0)")).alias("v")).collect()
         held.unpersist()
         counts = np.zeros(size)
         for r in sums:  # one row for each parameter of the model
@@ -267,7 +267,7 @@ def score(docs: DataFrame, held_out: Column, iterations: int = ITERATIONS) -> Da
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), held_out.alias("held_out"), text_of().alias("text"))
-    blocks = written(rows.mapInArrow(_index, BLOCKS), "blocks")
+    blocks = written(rows.transform(in_arrow, _index, BLOCKS), "blocks")
     texts = blocks.where("words IS NOT NULL").select("block", "doc_id", "held_out", "words", "classes")
     counted = written(_counted(blocks.where("word IS NOT NULL").select("block", "place", "class", "word", "trained"), texts), "counts")
     n_class, v_class = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)

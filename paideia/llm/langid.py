@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import in_arrow
+
 #: N-grams in a profile, and training documents that are read for each language (a sample by hash).
 PROFILE_SIZE, TRAINING_DOCS = 400, 2_000
 #: Characters that are counted at once.
@@ -178,7 +180,7 @@ def learn_profiles(labelled: DataFrame, size: int = PROFILE_SIZE, training_docs:
             grams, n = total[lang]
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(n)], ["lang", "gram", "n"])
 
-    totals = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    totals = sample.transform(in_arrow, count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram"))
     found: dict[str, list[tuple[int, int]]] = {}
     for r in totals.withColumn("rank", rank - 1).where(F.col("rank") < size).select("lang", "gram", "rank").collect():
@@ -203,7 +205,7 @@ def predict(docs: DataFrame, profiles: Profiles, *carry: Column) -> DataFrame:
             arrays = [*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return rows.mapInArrow(run, own.add("lang_pred", "string").add("score", "double"))
+    return rows.transform(in_arrow, run, own.add("lang_pred", "string").add("score", "double"))
 
 
 def keep_identified(docs: DataFrame, profiles: Profiles) -> DataFrame:
@@ -216,4 +218,4 @@ def keep_identified(docs: DataFrame, profiles: Profiles) -> DataFrame:
             keep = [t.is_valid and not held.value.foreign(t.as_py()) for t in batch.column(text_at)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(in_arrow, run, docs.schema)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_spread, maybe_flagged, text_of, written
+from .common import in_arrow, join_spread, maybe_flagged, text_of, written
 
 LENGTH, GRAM = 200, 32
 #: Different contexts of one anchor that one task compares, and bytes of contexts that it sorts at once.
@@ -183,7 +183,7 @@ def _scan(rows: DataFrame, emit, schema: str) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*held)], names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.transform(in_arrow, run, schema)
 
 
 def _sort_shard(length: int):
@@ -339,5 +339,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([o[i] for o in out], t) for i, t in enumerate(types))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    touched = join_spread(parted.where("_may").select("doc_id", "tkey", "text"), spans, ["tkey"], "rows", how="left").select("doc_id", "text", "spans").mapInArrow(cut, schema)
+    touched = join_spread(parted.where("_may").select("doc_id", "tkey", "text"), spans, ["tkey"], "rows", how="left").select("doc_id", "text", "spans").transform(in_arrow, cut, schema)
     return whole.unionByName(touched)

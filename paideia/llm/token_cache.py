@@ -24,7 +24,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_spread, maybe_among, maybe_flagged, text_of, written
+from .common import in_arrow, join_spread, maybe_among, maybe_flagged, text_of, written
 
 CACHE_SCHEMA = "content binary, n_tokens long, tokenizer string"
 #: Characters that go to the library in one call.
@@ -110,7 +110,7 @@ def fill_cache(docs: DataFrame, tokenizer_path: str, cache_path: str) -> tuple[D
         flagged = maybe_flagged(wanted, "content", misses.where("rows > 1"), "content")
         apart = flagged.where("NOT _may").select("content", "text")
         met = flagged.where("_may").groupBy("content").agg(F.first("text").alias("text"))
-        counted = apart.unionByName(met).mapInArrow(_counter(tokenizer_path), "content binary, n_tokens long")
+        counted = apart.unionByName(met).transform(in_arrow, _counter(tokenizer_path), "content binary, n_tokens long")
         if stored is not None:  # what the filter let pass by chance is stored already
             counted = counted.join(misses, "content", "left_semi")
         counted.withColumn("tokenizer", F.lit(name)).write.mode("append").partitionBy("tokenizer").parquet(cache_path)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import in_arrow, written
 
 # Letters of other scripts that look like Latin ones, and signs that replace letters.
 LOOK_ALIKES = {
@@ -147,7 +147,7 @@ def learn(docs: DataFrame, labels: DataFrame, training_docs: int = TRAINING_DOCS
         keys = list(clean)  # ... but another task may have met one
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([0] * len(keys), pa.int64()), pa.array([clean[k] for k in keys], pa.int64())], ["entry", "toxic", "clean"])
 
-    counted = sample.mapInArrow(count, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
+    counted = sample.transform(in_arrow, count, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
     odds = F.log((F.col("t") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("c") + 0.5) / (n_clean + 1.0))
     rows = counted.where(F.col("t") >= LEAST_DOCS).withColumn("w", odds).where(F.col("w") >= LEAST_ODDS).collect()
     weights = prune({r.entry: (r.t, r.w) for r in rows})
@@ -162,7 +162,7 @@ def learn(docs: DataFrame, labels: DataFrame, training_docs: int = TRAINING_DOCS
             a, b, c = zip(*x) if x else ((), (), ())
             yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.float64()) for v in (a, b, c)), batch.column(1)], ["a", "b", "c", "toxic"])
 
-    fitted = sample.mapInArrow(measure, "a double, b double, c double, toxic boolean").orderBy("a", "b", "c", "toxic").toPandas()
+    fitted = sample.transform(in_arrow, measure, "a double, b double, c double, toxic boolean").orderBy("a", "b", "c", "toxic").toPandas()
     curve = fit_curve(fitted[["a", "b", "c"]].to_numpy(), fitted["toxic"].to_numpy(float))
     return Lexicon(weights, exceptions, curve)
 
@@ -203,7 +203,7 @@ def _exceptions(sample: DataFrame, weights: dict[str, float]) -> frozenset[str]:
                 labels += [label] * len(seen)
             yield pa.RecordBatch.from_arrays([pa.array(phrases, pa.string()), pa.array(labels, pa.bool_())], ["phrase", "toxic"])
 
-    counted = sample.mapInArrow(pairs, "phrase string, toxic boolean").groupBy("phrase").agg(F.count_if(~F.col("toxic")).alias("c"), F.count_if("toxic").alias("t"))
+    counted = sample.transform(in_arrow, pairs, "phrase string, toxic boolean").groupBy("phrase").agg(F.count_if(~F.col("toxic")).alias("c"), F.count_if("toxic").alias("t"))
     return frozenset(r.phrase for r in counted.where((F.col("c") >= 3) & (F.col("c") >= 9 * F.col("t"))).select("phrase").collect())
 
 
@@ -240,4 +240,4 @@ def score(docs: DataFrame, lexicon: Lexicon, *carry: Column) -> DataFrame:
                 scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(matches, pa.int32()), pa.array(scores, pa.float64())], names)
 
-    return rows.mapInArrow(run, own.add("matches", "integer").add("score", "double"))
+    return rows.transform(in_arrow, run, own.add("matches", "integer").add("score", "double"))
