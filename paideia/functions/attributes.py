@@ -9,7 +9,8 @@ TRACKABLE = ("concept", "formula", "problem_type")
 
 
 def _clamped(c: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    """Null stays null: greatest and least alone would pass it over."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
 
 
 def mastery_threshold(kind: Column, flagged: Column, given: Column | None = None) -> Column:

@@ -45,6 +45,14 @@ def review(state: Column, quality: Column) -> dict[str, Column]:
     }
 
 
+#: What a review of quality 0 to 5 adds to mastery (fixed values).
+QUALITY_CHANGE = (-0.30, -0.20, -0.10, 0.0, 0.05, 0.10)
+
+
+def quality_change(quality: Column) -> Column:
+    return F.get(F.array(*map(F.lit, QUALITY_CHANGE)), F.greatest(F.lit(0), F.least(F.lit(5), quality.cast("int"))))
+
+
 STATE = {"mastery": "double", "linear": "double", "gap_type": "string", "attempts": "int", "correct_attempts": "int", "streak": "int", "easiness": "double", "interval_days": "int", "repetitions": "int", "reviewed": "boolean"}
 _FIRST = {"mastery": 0.0, "linear": 0.0, "gap_type": None, "attempts": 0, "correct_attempts": 0, "streak": 0, "easiness": 2.5, "interval_days": 0, "repetitions": 0, "reviewed": False}
 

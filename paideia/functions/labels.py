@@ -70,4 +70,18 @@ def short_hash(text: Column, digits: int) -> Column:
 
 
 def doc_id(title: Column) -> Column:
-    return F.concat(F.substring(F.regexp_replace(F.lower(title), " ", "_"), 1, 40), F.lit("_"), short_hash(title, 8))
+    """From a title or path: its last part without a suffix, and a hash of the whole."""
+    name = F.regexp_replace(F.regexp_extract(title, "([^/]*)/*$", 1), r"^(.+)\.[^.]+$", "$1")
+    stem = F.substring(F.regexp_replace(F.lower(name), " ", "_"), 1, 40)
+    return F.concat(F.when(stem == "", "document").otherwise(stem), F.lit("_"), short_hash(title, 8))
+
+
+def csv_items(text: Column) -> Column:
+    """The items of a comma-separated argument, trimmed, without empty ones; null for null and empty text."""
+    items = F.filter(F.transform(F.split(text, ","), stripped), lambda t: t != "")
+    return F.when(F.coalesce(text, F.lit("")) != "", items)
+
+
+def parse_iso(text: Column) -> Column:
+    """A timestamp from ISO 8601 text (Z or an offset allowed); null for anything else."""
+    return F.try_to_timestamp(F.regexp_replace(F.trim(text), "Z$", "+00:00"))

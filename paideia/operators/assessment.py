@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import attributes as A
 from ..functions import folds
 from ..functions import labels as L
+from .learner import with_attributes
 
 
 def _text(body: Column, key: str) -> Column:
@@ -43,7 +44,7 @@ def is_correct(body: Column) -> Column:
 
 def resolved(evaluations: DataFrame, nodes: DataFrame) -> DataFrame:
     """The evaluations (with ``ref``) with node_id, label and threshold: by id, else by label, else as they are."""
-    known = nodes.select("id", "label", A.mastery_threshold(F.col("kind"), F.col("is_threshold")).alias("threshold"))
+    known = with_attributes(nodes).select("id", "label", "threshold")
     named = known.groupBy(L.normalize_text(F.col("label")).alias("name")).agg(F.min("id").alias("by_name"))
     refs = evaluations.select("ref").distinct()
     found = refs.join(known.select(F.col("id").alias("ref"), F.col("id").alias("by_id")), "ref", "left").join(named, L.normalize_text(F.col("ref")) == F.col("name"), "left")
@@ -85,12 +86,12 @@ def apply_assessments(states: DataFrame, evaluations: DataFrame, nodes: DataFram
 
 def states_after(states: DataFrame, updates: DataFrame) -> DataFrame:
     """The states with each learner's and node's last update in place of the old row; others stay."""
-    last = updates.groupBy("learner_id", "node_id").agg(F.max_by(F.struct("state", "last_at"), "seq").alias("u"), F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col("mistake").isNotNull(), F.struct("seq", "mistake")))), lambda x: x["mistake"])).alias("new"))
+    last = updates.groupBy("learner_id", "node_id").agg(F.max_by(F.struct("state", "last_at"), "seq").alias("u"), F.max_by("last_at", F.when(F.col("next_review_at").isNotNull(), F.col("seq"))).alias("new_review"), F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col("mistake").isNotNull(), F.struct("seq", "mistake")))), lambda x: x["mistake"])).alias("new"))
     kept = [c for c in states.columns if c not in ("learner_id", "node_id")]
     both = states.withColumn("old", F.struct(*kept)).select("learner_id", "node_id", "old").join(last, ["learner_id", "node_id"], "full")
     pick = lambda n: F.when(F.col("u").isNotNull(), F.col(f"u.state.{n}")).otherwise(F.col(f"old.{n}")).alias(n)
     none = F.array().cast("array<string>")
     out = both.select(
-        "learner_id", "node_id", *[pick(n) for n in folds.STATE], F.coalesce("u.last_at", "old.last_at").alias("last_at"), F.array_union(F.coalesce("old.mistakes", none), F.coalesce("new", none)).alias("mistakes")
+        "learner_id", "node_id", *[pick(n) for n in folds.STATE], F.coalesce("u.last_at", "old.last_at").alias("last_at"), F.coalesce("new_review", "old.reviewed_at").alias("reviewed_at"), F.array_union(F.coalesce("old.mistakes", none), F.coalesce("new", none)).alias("mistakes")
     )
     return out.withColumn("confidence", F.least(F.lit(0.95), F.col("attempts") / 8.0))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -24,31 +27,42 @@ def degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.select("id").join(a, "id", "left").join(b, "id", "left").na.fill(0)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; a local session without one gets a folder of its own."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if folder is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="paideia-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(folder)
+    return folder
+
+
 def _saved(df: DataFrame) -> DataFrame:
-    """Cuts lineage where the session has a shared folder for it."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.cache()
+    """Cuts lineage in the shared folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
 
 
 def closure(pairs: DataFrame, start: DataFrame | None = None) -> DataFrame:
     """id, needs, depth: all direct and indirect prerequisites with their least depth; cycles end.
 
     ``start`` (id) limits the nodes whose prerequisites are wanted. The frontier is joined to the
-    edges level by level; what is known already is not followed again.
+    edges level by level, each level is written once, and what is known already is not followed again. Without ``start``
+    the result has a row for every node and prerequisite, which is the size of the question.
     """
     first = pairs if start is None else pairs.join(start, "id", "left_semi")
-    frontier = found = _saved(first.distinct().withColumn("depth", F.lit(1)))
+    frontier = _saved(first.distinct().withColumn("depth", F.lit(1)))
+    levels = [frontier]
     step = pairs.select(F.col("id").alias("needs"), F.col("needs").alias("onward"))
-    depth = 1
     while not frontier.isEmpty():
-        depth += 1
         reached = frontier.join(step, "needs").select("id", F.col("onward").alias("needs")).distinct()
-        frontier = _saved(reached.join(found, ["id", "needs"], "left_anti").withColumn("depth", F.lit(depth)))
-        found = _saved(found.unionByName(frontier))
-    return found
+        found = reduce(DataFrame.unionByName, levels)
+        frontier = _saved(reached.join(found, ["id", "needs"], "left_anti").withColumn("depth", F.lit(len(levels) + 1)))
+        levels.append(frontier)
+    return reduce(DataFrame.unionByName, levels)
 
 
 def neighbours(edges: DataFrame) -> DataFrame:
@@ -64,7 +78,7 @@ WALKS = {"parents": ("parent", "in"), "children": ("child", "out"), "both": ("pa
 
 
 def relatives(nodes: DataFrame, edges: DataFrame, start: str, depth: int = 1, direction: str = "both", relations: list[str] | None = None) -> DataFrame:
-    """A row for each edge met on the way out from ``start``; every node is expanded once."""
+    """A row for each edge met on the way out from ``start``; every node is expanded once. ``nearest_first`` has their order."""
     steps = neighbours(edges).where(F.col("direction").isin(*WALKS[direction]))
     if relations is not None:
         steps = steps.where(F.col("relation").isin(*relations)) if relations else steps.limit(0)
@@ -80,6 +94,10 @@ def relatives(nodes: DataFrame, edges: DataFrame, start: str, depth: int = 1, di
     return out
 
 
+def nearest_first() -> list[Column]:
+    return [F.col("depth"), F.col("direction"), F.col("label"), F.col("id"), F.col("from_id"), F.col("relation")]
+
+
 def first_principles(nodes: DataFrame, edges: DataFrame, target: str, max_paths: int = 3) -> DataFrame:
     """Paths from a node without prerequisites to ``target``, shortest first; a cycle ends a path with its repeated node."""
     pairs = _saved(requires(edges, nodes))
@@ -113,13 +131,13 @@ def learning_path(view: DataFrame, edges: DataFrame, target: str, max_steps: int
     limit = F.lit(1.0) if include_review else F.col("threshold")
     kept = _saved(view.join(wanted, "id", "left_semi").where(F.col("mastery") < limit))
     own = _saved(pairs.join(kept.select("id"), "id", "left_semi").join(kept.select(F.col("id").alias("needs")), "needs", "left_semi").where("id <> needs"))
-    levels = kept.select("id", F.lit(0).alias("level"))
-    for _ in range(max(1, kept.count())):  # longest ways grow by one edge a round; cycles stop at the number of nodes
-        raised = own.join(levels.withColumnRenamed("id", "needs"), "needs").groupBy("id").agg((F.max("level") + 1).alias("up"))
-        after = _saved(levels.join(raised, "id", "left").select("id", F.greatest("level", F.coalesce("up", F.lit(0))).alias("level")))
-        same = after.exceptAll(levels).isEmpty()
-        levels = after
-        if same:
+    # Longest ways grow by one edge a round, only from nodes that the round before raised; a cycle stops at the number of nodes.
+    levels = raised = _saved(kept.select("id", F.lit(0).alias("level")))
+    for _ in range(max(1, kept.count())):
+        up = own.join(raised.withColumnRenamed("id", "needs"), "needs").groupBy("id").agg((F.max("level") + 1).alias("up"))
+        after = _saved(levels.join(up, "id", "left").select("id", F.greatest("level", F.coalesce("up", F.lit(0))).alias("level"), (F.col("up") > F.col("level")).alias("raised")))
+        levels, raised = after.select("id", "level"), after.where("raised").select("id", "level")
+        if raised.isEmpty():
             break
     at = F.row_number().over(Window.orderBy("level", "difficulty", "label", "id"))
     steps = kept.join(levels, "id").withColumn("step", at).withColumn("minutes", F.greatest(F.lit(3), F.col("minutes")))
@@ -139,3 +157,20 @@ def sessions(steps: DataFrame, session_minutes: int = 35) -> DataFrame:
 
     zero = F.struct(F.lit(0).alias("session"), F.lit(0).alias("total"), F.lit(0).alias("n"), F.array().cast("array<struct<step:int,session:int>>").alias("made"))
     return rows.select(F.inline(F.aggregate("s", zero, put)["made"]))
+
+
+def session_totals(steps: DataFrame, session_minutes: int = 35) -> DataFrame:
+    """session, minutes, n_steps of the plan that ``sessions`` makes."""
+    placed = sessions(steps, session_minutes).join(steps.select("step", "minutes"), "step")
+    return placed.groupBy("session").agg(F.sum("minutes").alias("minutes"), F.count(F.lit(1)).alias("n_steps"))
+
+
+def path_packet(steps: DataFrame, session_minutes: int = 25) -> DataFrame:
+    """One row: total_minutes, steps and sessions of one learning path, each in order."""
+    step = F.struct("step", "id", "label", "kind", "mastery", "threshold", F.col("minutes").alias("estimated_minutes"), "difficulty")
+    placed = steps.join(sessions(steps, session_minutes), "step").withColumn("s", step)
+    own = F.sort_array(F.collect_list("s"))
+    each = placed.groupBy("session").agg(F.sum("minutes").cast("int").alias("estimated_minutes"), own.alias("steps"))
+    inside = each.agg(F.sort_array(F.collect_list(F.struct(F.col("session").alias("ordinal"), "estimated_minutes", "steps"))).alias("sessions"))
+    whole = steps.withColumn("s", step).agg(F.coalesce(F.sum("minutes"), F.lit(0)).cast("int").alias("total_minutes"), own.alias("steps"))
+    return whole.join(inside)  # one row each

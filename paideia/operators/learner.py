@@ -10,12 +10,18 @@ from ..functions import attributes as A
 from ..functions import folds
 
 
+#: Columns that a node may have of its own.
+GIVEN = {"difficulty_given": "double", "threshold_given": "double", "is_threshold": "boolean", "minutes": "int", "exam_relevance": "double"}
+
+
 def with_attributes(nodes: DataFrame) -> DataFrame:
-    """Nodes with threshold, difficulty, minutes and exam relevance by the default rules."""
+    """Nodes with threshold, difficulty, minutes and exam relevance: their own (threshold_given, difficulty_given, bloom_level ...) or by the default rules."""
+    bloom = F.col("bloom_level") if "bloom_level" in nodes.columns else F.try_element_at("properties", F.lit("bloom_level")) if "properties" in nodes.columns else None
+    nodes = nodes.withColumns({c: F.lit(None).cast(t) for c, t in GIVEN.items() if c not in nodes.columns})
     return nodes.withColumns(
         {
-            "threshold": A.mastery_threshold(F.col("kind"), F.col("is_threshold")),
-            "difficulty": A.difficulty(F.col("kind"), F.col("difficulty_given")),
+            "threshold": A.mastery_threshold(F.col("kind"), F.col("is_threshold"), F.col("threshold_given")),
+            "difficulty": A.difficulty(F.col("kind"), F.col("difficulty_given"), bloom),
             "minutes": A.or_default(F.col("minutes").cast("double"), 15.0).cast("int"),
             "exam_relevance": A.or_default(F.col("exam_relevance"), 0.5),
         }
@@ -30,8 +36,8 @@ def trace(observations: DataFrame, threshold: Column | None = None) -> DataFrame
     history = F.array_sort(F.collect_list(F.struct("ts", "event_id", "correct", "quality", "mistake")))
     grouped = observations.groupBy("learner_id", "node_id").agg(history.alias("h"))
     state = folds.fold(F.col("h"), F.lit(0.8) if threshold is None else threshold)
-    done = grouped.select("learner_id", "node_id", state.alias("s"), F.element_at("h", -1)["ts"].alias("last_at"), F.array_distinct(F.filter("h.mistake", lambda m: m.isNotNull())).alias("mistakes"))
-    return done.select("learner_id", "node_id", "s.*", "last_at", "mistakes").withColumn("confidence", F.least(F.lit(0.95), F.col("attempts") / 8.0))
+    done = grouped.select("learner_id", "node_id", state.alias("s"), F.element_at("h", -1)["ts"].alias("last_at"), F.try_element_at(F.filter("h", lambda o: o["quality"].isNotNull()), F.lit(-1))["ts"].alias("reviewed_at"), F.array_distinct(F.filter("h.mistake", lambda m: m.isNotNull())).alias("mistakes"))
+    return done.select("learner_id", "node_id", "s.*", "last_at", "reviewed_at", "mistakes").withColumn("confidence", F.least(F.lit(0.95), F.col("attempts") / 8.0))
 
 
 def abilities(states: DataFrame) -> DataFrame:
@@ -92,8 +98,8 @@ def next_node(candidates: DataFrame) -> DataFrame:
 
 
 def due(states: DataFrame, as_of: Column) -> DataFrame:
-    """Due states with priority: overdue days weighted by what is not mastered."""
-    at = F.when(F.col("reviewed"), F.col("last_at") + F.make_dt_interval(F.col("interval_days")))
+    """Due states with priority: overdue days weighted by what is not mastered. A review is due so many days after the last one."""
+    at = F.col("reviewed_at") + F.make_dt_interval(F.col("interval_days"))
     days = (F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(F.col("next_review_at").cast("timestamp"))) / 86400e6
     priority = F.when(F.col("next_review_at").isNull(), F.when(F.col("attempts") > 0, 1.0).otherwise(0.0)).otherwise(days * (1 - F.col("mastery") * 0.3) * 10)
     is_due = F.when(F.col("next_review_at").isNull(), F.col("attempts") > 0).otherwise(days >= 0)
@@ -102,3 +108,50 @@ def due(states: DataFrame, as_of: Column) -> DataFrame:
 
 def top(rows: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= n)
+
+
+def accuracy(attempts: Column, correct: Column) -> Column:
+    """The share of right answers; 0 without any."""
+    return F.coalesce(F.try_divide(correct, attempts), F.lit(0.0))
+
+
+def totals(view: DataFrame) -> DataFrame:
+    """One row: mastered_count and total_trackable of a learner's view."""
+    return view.agg(F.count_if(F.col("mastery") >= F.col("threshold")).alias("mastered_count"), F.count(F.lit(1)).alias("total_trackable"))
+
+
+def trackable(nodes: DataFrame) -> DataFrame:
+    """The nodes that a learner can master, easy ones first."""
+    return with_attributes(nodes).where(F.col("kind").isin(*A.TRACKABLE)).orderBy("difficulty", "label", "id")
+
+
+def due_list(nodes: DataFrame, states: DataFrame, learner_id: int, as_of: Column, limit: int = 10) -> DataFrame:
+    """id, label, mastery, priority of a learner's due nodes, most urgent first."""
+    rows = due(states.where(F.col("learner_id") == learner_id), as_of).where("due")
+    known = nodes.where(F.col("kind").isin(*A.TRACKABLE)).select(F.col("id").alias("node_id"), "label")
+    found = rows.join(known, "node_id").select(F.col("node_id").alias("id"), "label", "mastery", "priority")
+    return found.orderBy(F.desc("priority"), "id").limit(limit)
+
+
+def ranked(candidates: DataFrame, n: int, by: tuple[str, ...] = ("bucket",)) -> DataFrame:
+    """The ``n`` best candidates of each bucket (or learner and bucket), with ``rank``: blocked ones by how few prerequisites they lack."""
+    order = [F.when(F.col("bucket") == "blocked", F.col("n_unmet")).otherwise(0), *best_first(candidates)]
+    return top(candidates, list(by), order, n)
+
+
+def candidate_packets(candidates: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Candidates as tutors read them: with relevance, reason, and their open prerequisites under both names."""
+    relevance = with_attributes(nodes).select("id", "exam_relevance")
+    open_ = F.when(F.col("unmet") == "", F.array().cast("array<string>")).otherwise(F.split("unmet", r"\|"))
+    reason = F.when(F.col("bucket") == "blocked", "blocked_by_prerequisites").otherwise("prerequisites_met")
+    own = ["bucket", "ready", "score", "kind", "label", "mastery", "threshold", "difficulty"]
+    extra = ["rank"] if "rank" in candidates.columns else []
+    return candidates.join(relevance, "id", "left").select(F.col("id").alias("node_id"), *own, *extra, F.coalesce("exam_relevance", F.lit(0.5)).alias("exam_relevance"), reason.alias("reason"), open_.alias("unmet_prerequisites"), open_.alias("blocking_prerequisites"))
+
+
+def recent_mistakes(states: DataFrame, learner_id: int, limit: int = 8) -> DataFrame:
+    """place, mistake: a learner's distinct mistakes, those of the node met last first, ``limit`` of them."""
+    own = states.where(F.col("learner_id") == learner_id).select("last_at", "node_id", F.posexplode("mistakes").alias("pos", "mistake")).where("mistake <> ''")
+    order = F.struct((-F.unix_micros(F.col("last_at").cast("timestamp"))).alias("late"), "node_id", "pos")
+    first = own.groupBy("mistake").agg(F.min(order).alias("o")).orderBy("o", "mistake").limit(limit)
+    return first.select(F.row_number().over(Window.orderBy("o", "mistake")).alias("place"), "mistake")

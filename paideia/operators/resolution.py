@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -39,11 +39,21 @@ def lexical_pairs(labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return met.withColumn("similarity", L.lexical_similarity(F.col("a"), F.col("b"))).where(F.col("similarity") >= threshold)
 
 
-def cosine_pairs(vectors: DataFrame, threshold: float, blocks: int = 8) -> DataFrame:
-    """a, b, cosine of vectors (id, vector) at or above ``threshold``, compared in blocks, each pair of blocks in one task."""
+#: Vectors of a block, and rows of it that are compared at once.
+VECTORS, ROWS_AT_ONCE = 8192, 512
+
+
+def cosine_pairs(vectors: DataFrame, threshold: float, blocks: int | None = None) -> DataFrame:
+    """a, b, cosine of vectors (id, vector) at or above ``threshold``.
+
+    Vectors are dealt to blocks of about VECTORS by hash of their id; each pair of blocks is one task, which holds
+    ROWS_AT_ONCE x VECTORS cosines at a time. All pairs are compared, as the question is exact.
+    """
     import numpy as np
     import pandas as pd
 
+    if blocks is None:
+        blocks = max(1, -(-vectors.count() // VECTORS))
     rows = vectors.select("id", F.col("vector").cast("array<double>").alias("vector")).withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     left = rows.select(F.col("id").alias("i"), F.col("vector").alias("v"), F.lit(0).alias("side"), F.explode(F.expr(f"transform(sequence(own, {blocks - 1}), x -> own * {blocks} + x)")).alias("cell"))
     right = rows.select(F.col("id").alias("i"), F.col("vector").alias("v"), F.lit(1).alias("side"), F.explode(F.expr(f"transform(sequence(0, own), x -> x * {blocks} + own)")).alias("cell"))
@@ -58,12 +68,15 @@ def cosine_pairs(vectors: DataFrame, threshold: float, blocks: int = 8) -> DataF
         (x, a), (y, b) = sides
         if not len(x) or not len(y):
             return pd.DataFrame({"a": [], "b": [], "cosine": []})
-        c = a @ b.T
-        i, j = np.nonzero(c >= threshold)
         cell = int(pdf["cell"].iloc[0])
-        keep = x[i] < y[j] if cell // blocks == cell % blocks else x[i] != y[j]
-        i, j = i[keep], j[keep]
-        return pd.DataFrame({"a": np.minimum(x[i], y[j]), "b": np.maximum(x[i], y[j]), "cosine": c[i, j]})
+        found = []
+        for k in range(0, len(x), ROWS_AT_ONCE):
+            c = a[k : k + ROWS_AT_ONCE] @ b.T
+            i, j = np.nonzero(c >= threshold)
+            p, q = x[k : k + ROWS_AT_ONCE][i], y[j]
+            keep = p < q if cell // blocks == cell % blocks else p != q
+            found.append(pd.DataFrame({"a": np.minimum(p, q)[keep], "b": np.maximum(p, q)[keep], "cosine": c[i, j][keep]}))
+        return pd.concat(found)
 
     return left.unionAll(right).groupBy("cell").applyInPandas(compare, "a long, b long, cosine double")
 
@@ -81,6 +94,40 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = after
 
 
+def embedding_links(concepts: DataFrame, embed, threshold: float = 0.85, lexical: float = THRESHOLD) -> DataFrame:
+    """chunk_id, a, b: positions of a chunk's similar concepts, by their vectors where both have one, else by their names.
+
+    ``embed`` is a function from texts ("name: description") to vectors; None stands for a text that has none. It runs
+    where the concepts are. One chunk's concepts are compared in one task.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def vectors(frames):
+        for frame in frames:
+            found = embed([f"{n}: {d or ''}" for n, d in zip(frame["name"], frame["description"])])
+            yield pd.DataFrame({"chunk_id": frame["chunk_id"], "pos": frame["pos"], "norm": frame["norm"], "vector": [None if v is None else list(map(float, v)) for v in found]})
+
+    rows = concepts.select("chunk_id", "pos", "name", "description", L.normalize_label(F.col("name")).alias("norm"))
+    each = _saved(rows.mapInPandas(vectors, "chunk_id string, pos int, norm string, vector array<double>"))
+
+    def near(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = np.array(pdf["vector"].tolist(), float).reshape(len(pdf), -1)
+        size = np.linalg.norm(m, axis=1, keepdims=True)
+        m = np.divide(m, size, out=np.zeros_like(m), where=size > 0)
+        i, j = np.nonzero(np.triu(m @ m.T >= threshold, 1))
+        pos = pdf["pos"].to_numpy()
+        return pd.DataFrame({"chunk_id": pdf["chunk_id"].iloc[0], "a": pos[i], "b": pos[j]})
+
+    by_vector = each.where("vector IS NOT NULL").groupBy("chunk_id").applyInPandas(near, "chunk_id string, a int, b int")
+    pairs = lexical_pairs(each, lexical).select("a", "b")
+    same = each.where("norm <> ''").select(F.col("norm").alias("a"), F.col("norm").alias("b")).distinct()
+    x = each.select("chunk_id", F.col("norm").alias("a"), F.col("pos").alias("p"), F.col("vector").isNotNull().alias("has_a"))
+    y = each.select("chunk_id", F.col("norm").alias("b"), F.col("pos").alias("q"), F.col("vector").isNotNull().alias("has_b"))
+    by_name = pairs.unionAll(same).join(x, "a").join(y, ["chunk_id", "b"]).where("p <> q AND NOT (has_a AND has_b)").select("chunk_id", F.col("p").alias("a"), F.col("q").alias("b"))
+    return by_vector.unionByName(by_name)
+
+
 def fuse_concepts(concepts: DataFrame, threshold: float = THRESHOLD, links: DataFrame | None = None) -> DataFrame:
     """Concepts (chunk_id, pos, name, description, confidence, evidence and arrays) with similar ones of a chunk made one.
 
@@ -129,88 +176,169 @@ def fusion_report(fused: DataFrame) -> DataFrame:
     )
 
 
+def _in_order(rows: DataFrame, key: list[str], value: str, order: str) -> DataFrame:
+    """``key`` and the distinct values of its rows, in the order of their first place; repeated ones go before rows meet."""
+    first = rows.where(F.col(value).isNotNull()).groupBy(*key, value).agg(F.min(order).alias("_o"))
+    each = F.array_sort(F.collect_list(F.struct("_o", value)))
+    return first.groupBy(*key).agg(F.transform(each, lambda x: x[value]).alias(value))
+
+
 def merge_nodes(events: DataFrame) -> DataFrame:
-    """One node for each node_id of upsert events (node_id, seq, label, kind, description, source): the first label,
-    the longest description (the first of equal ones), and distinct further labels and sources in order."""
-    first = F.min_by("label", "seq")
-    ordered = lambda c: F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("seq", c))), lambda x: x[c]))
-    out = events.groupBy("node_id", "kind").agg(first.alias("label"), F.max_by("description", F.struct(F.length("description"), -F.col("seq"))).alias("description"), ordered("label").alias("l"), ordered("source").alias("sources"))
-    return out.withColumn("aliases", F.array_except("l", F.array("label"))).drop("l")
+    """One node for each node_id of upsert events (node_id, kind, seq, label, description, source, and maybe aliases and
+    properties): the first label, the longest description (the first of equal ones), distinct further labels and aliases
+    and distinct sources in order, and of each property the last value that isn't empty (the first event's may be)."""
+    none = F.array().cast("array<string>")
+    aliases = F.coalesce(F.col("aliases"), none) if "aliases" in events.columns else none
+    out = events.groupBy("node_id", "kind").agg(F.min_by("label", "seq").alias("label"), F.min_by("description", F.when(F.col("description").isNotNull(), F.struct(-F.length("description"), "seq"))).alias("description"), F.min("seq").alias("_first"))
+    named = events.select("node_id", "seq", F.posexplode(F.concat(F.array("label"), aliases)).alias("j", "names")).withColumn("o", F.struct("seq", "j"))
+    out = out.join(_in_order(named, ["node_id"], "names", "o"), "node_id").join(_in_order(events.withColumnRenamed("source", "sources"), ["node_id"], "sources", "seq"), "node_id", "left")
+    out = out.withColumn("aliases", F.array_except("names", F.array("label"))).drop("names")
+    if "properties" in events.columns:
+        each = events.select("node_id", "seq", F.explode("properties").alias("k", "v"))
+        filled = F.when(F.coalesce("v", F.lit("")) != "", F.col("seq"))
+        last = each.groupBy("node_id", "k").agg(F.coalesce(F.max_by("v", filled), F.min_by("v", "seq")).alias("v"), F.max(filled).isNotNull().alias("full"), F.min("seq").alias("s"))
+        kept = last.groupBy("node_id").agg(F.sort_array(F.collect_list(F.struct("k", "v", "full", "s"))).alias("p"))
+        held = lambda e: e["full"] | (e["s"] == F.col("_first"))
+        entries = F.transform(F.filter("p", held), lambda e: F.struct(e["k"].alias("key"), e["v"].alias("value")))
+        out = out.join(kept, "node_id", "left").withColumn("properties", F.coalesce(F.map_from_entries(entries), F.create_map().cast("map<string,string>"))).drop("p")
+    return out.drop("_first")
 
 
 def merge_edges(events: DataFrame) -> DataFrame:
-    """One edge for each (source_id, target_id, relation): largest weight, first evidence that isn't empty, number of events."""
+    """One edge for each (source_id, target_id, relation): largest weight, first evidence that isn't empty, number of
+    events, and, where the events have a ``source``, distinct sources in order."""
+    key = ["source_id", "target_id", "relation"]
     evidence = F.min_by("evidence", F.when(F.coalesce(F.col("evidence"), F.lit("")) != "", F.col("seq")))
-    return events.groupBy("source_id", "target_id", "relation").agg(F.max("weight").alias("weight"), evidence.alias("evidence"), F.count(F.lit(1)).alias("n_events"))
-
+    out = events.groupBy(*key).agg(F.max("weight").alias("weight"), evidence.alias("evidence"), F.count(F.lit(1)).alias("n_events"))
+    if "source" not in events.columns:
+        return out
+    return out.join(_in_order(events.withColumnRenamed("source", "sources"), key, "sources", "seq"), key, "left")
 
-def resolve_in_order(labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """kind, seq, label, canonical: each label takes the best match among earlier ones of its kind (``aliases`` count
-    as labels once seen), or stands for itself. The order matters, so a kind is one task; the input is distinct labels."""
-    import pandas as pd
-
-    stop = set(L.STOP_TOKENS)
 
-    def normal(s: str) -> str:
-        import re
+def resolve_in_order(labels: DataFrame, threshold: float = THRESHOLD, pairs=lexical_pairs) -> DataFrame:
+    """kind, seq, label, canonical, matched: each label (kind, seq, label, aliases; distinct by kind, ``seq`` of any type that has an order) takes the best match
+    among earlier ones of its kind (aliases count as labels once seen), or stands for itself.
 
-        s = re.sub(r"'s\b", "", s.lower().replace("’", "'"))
-        return " ".join(t for t in re.sub("[^a-z0-9àèéìòù]+", " ", s).split() if t not in stop)
+    Only labels that a chain of similar forms, or of labels and their aliases, connects can matter to each other: such a
+    component of one kind is worked through in order in one task, with the similarities that ``pairs`` (norms, threshold ->
+    a, b, similarity) found before; components spread.
+    """
+    import pandas as pd
 
-    def similar(a: str, b: str) -> float:
-        if not a or not b:
-            return 0.0
-        if a == b:
-            return 1.0
-        if a in b or b in a:
-            return max(0.86, min(len(a), len(b)) / max(len(a), len(b)))
-        x, y = set(a.split()), set(b.split())
-        return len(x & y) / len(x | y)
+    form = lambda x: F.struct(x.alias("label"), L.normalize_label(x).alias("norm"))
+    aliases = F.coalesce("aliases", F.array().cast("array<string>"))
+    rows = _saved(labels.select("kind", "seq", "label", L.normalize_label(F.col("label")).alias("norm"), F.transform(aliases, form).alias("also")))
+    norms = rows.select("norm").unionAll(rows.select(F.explode("also.norm").alias("norm")))
+    near = _saved(pairs(norms, threshold).select("a", "b", "similarity"))
+    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+    around = both.groupBy(F.col("a").alias("norm")).agg(F.map_from_entries(F.collect_list(F.struct("b", "similarity"))).alias("near"))
+    # Labels without a normal form match nothing; each of them, by itself, may have aliases.
+    own = F.when(F.col("norm") == "", F.concat(F.lit("\0"), "label")).otherwise(F.col("norm"))
+    other = lambda x: F.when(x["norm"] == "", F.concat(F.lit("\0"), x["label"])).otherwise(x["norm"])
+    tied = rows.select(own.alias("a"), F.explode(F.transform("also", other)).alias("b")).where("a <> b")
+    roots = components(near.select("a", "b").unionByName(tied)).withColumnRenamed("node", "own")
+    rows = rows.withColumn("own", own).join(roots, "own", "left").withColumn("root", F.coalesce("root", "own")).join(around, "norm", "left").drop("own")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        known: dict[str, tuple[str, str]] = {}  # label -> normal form, canonical label
+        known: dict[str, str] = {}  # label -> canonical label
+        first: dict[str, tuple[int, str]] = {}  # normal form -> place and canonical label of its first label
         out = []
-        for r in pdf.sort_values("seq").itertuples():
-            if r.label in known:
-                canonical = known[r.label][1]
-            else:
-                own = normal(r.label)
-                scored = [(similar(own, form), -at, target) for at, (form, target) in enumerate(known.values())]
-                best = max(scored, default=(0.0, 0, ""))
-                canonical = best[2] if best[0] >= threshold else r.label
-                known[r.label] = (own, canonical)
-            for alias in r.aliases if r.aliases is not None else ():
-                known.setdefault(alias, (normal(alias), canonical))
-            out.append((r.kind, r.seq, r.label, canonical))
-        return pd.DataFrame(out, columns=["kind", "seq", "label", "canonical"])
-
-    return labels.select("kind", "seq", "label", "aliases").groupBy("kind").applyInPandas(run, "kind string, seq long, label string, canonical string")
-
-
-def build_graph(chunks: DataFrame, extractions: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of extracted concepts (chunk_id, concepts), with provenance; chunks without any are left out."""
-    rows = extractions.join(chunks.select("chunk_id", "doc_id", "title", F.col("text").alias("body"), "ordinal"), "chunk_id")
-    chunk_nodes = rows.select(F.lit("source_chunk").alias("kind"), F.coalesce(F.nullif("title", F.lit("")), "chunk_id").alias("label"), F.substring("body", 1, 500).alias("description"), "chunk_id", F.lit(-1).alias("i"), F.lit(0).alias("j"), F.array().cast("array<string>").alias("aliases"), F.lit(None).cast("string").alias("relation"), F.lit(None).cast("double").alias("weight"), F.lit(None).cast("string").alias("evidence"), F.lit(None).cast("string").alias("owner"))
-    concepts = rows.select("chunk_id", "title", F.posexplode("concepts").alias("i", "c"))
-    named = concepts.select(F.lit("concept").alias("kind"), F.col("c.name").alias("label"), F.col("c.description").alias("description"), "chunk_id", "i", F.lit(0).alias("j"), F.coalesce("c.aliases", F.array().cast("array<string>")).alias("aliases"), F.lit("MENTIONED_IN").alias("relation"), F.col("c.confidence").alias("weight"), F.col("c.evidence").alias("evidence"), F.coalesce(F.nullif("title", F.lit("")), "chunk_id").alias("owner"))
-    parts = [("prerequisites", "concept", "REQUIRES", 1), ("related", "concept", "RELATED_TO", 2), ("formulas", "formula", "HAS_FORMULA", 3), ("problem_types", "problem_type", "USED_IN_PROBLEM_TYPE", 4)]
-    events = chunk_nodes.unionByName(named)
-    for field, kind, relation, tier in parts:
-        each = concepts.select("*", F.posexplode(f"c.{field}").alias("p", "label"))
-        events = events.unionByName(each.select(F.lit(kind).alias("kind"), "label", F.lit("").alias("description"), "chunk_id", "i", (F.lit(tier * 10_000) + F.col("p")).alias("j"), F.array().cast("array<string>").alias("aliases"), F.lit(relation).alias("relation"), F.col("c.confidence").alias("weight"), F.col("c.evidence").alias("evidence"), F.col("c.name").alias("owner")))
-    events = _saved(events.withColumn("label", L.stripped(F.col("label"))).where("label <> ''").withColumn("order", F.struct("chunk_id", "i", "j")))
-    first = events.groupBy("kind", "label").agg(F.min("order").alias("order"), F.array_distinct(F.flatten(F.collect_list("aliases"))).alias("aliases"))
-    numbered = first.withColumn("seq", F.row_number().over(Window.partitionBy("kind").orderBy("order")).cast("long"))
-    names = resolve_in_order(numbered, threshold).select("kind", "label", "canonical")
-    named_events = _saved(events.join(names, ["kind", "label"]).withColumn("node_id", L.node_id(F.col("kind"), F.col("canonical"))))
-    # Every event's place in the whole order; a node's and an edge's parts are taken by it.
-    placed = named_events.withColumn("seq", F.row_number().over(Window.partitionBy("kind").orderBy("order")).cast("long")).drop("order")
-    nodes = merge_nodes(placed.select("node_id", "kind", "seq", "label", "description", F.col("chunk_id").alias("source")))
-    owners = names.where("kind = 'concept'").select(F.col("label").alias("owner"), L.node_id(F.lit("concept"), F.col("canonical")).alias("owner_id"))
-    chunk_ids = names.where("kind = 'source_chunk'").select(F.col("label").alias("owner"), L.node_id(F.lit("source_chunk"), F.col("canonical")).alias("chunk_node"))
-    mentions = placed.where("relation = 'MENTIONED_IN'").join(chunk_ids, "owner").select(F.col("node_id").alias("source_id"), F.col("chunk_node").alias("target_id"), "relation", "weight", "evidence", "seq")
-    others = placed.where("relation <> 'MENTIONED_IN'").join(owners, "owner").select(F.col("owner_id").alias("source_id"), F.col("node_id").alias("target_id"), "relation", "weight", "evidence", "seq")
-    return nodes, merge_edges(mentions.unionByName(others))
+
+        def register(label: str, norm: str, canonical: str) -> None:
+            if label not in known:
+                known[label] = canonical
+                if norm:
+                    first.setdefault(norm, (len(known), canonical))
+
+        for r in pdf.sort_values("place").itertuples():
+            canonical, matched = known.get(r.label), False
+            if canonical is None:
+                near = {r.norm: 1.0} | dict(r.near if r.near is not None else ()) if r.norm else {}
+                scored = [(s, -first[n][0], first[n][1]) for n, s in near.items() if n in first and s >= threshold]
+                matched = bool(scored)
+                canonical = max(scored)[2] if scored else r.label
+            register(r.label, r.norm, canonical)
+            for alias in r.also:
+                register(alias["label"], alias["norm"], canonical)
+            out.append((r.kind, r.label, canonical, matched))
+        return pd.DataFrame(out, columns=["kind", "label", "canonical", "matched"])
+
+    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy("kind", "root").orderBy("seq")))
+    found = placed.drop("seq").groupBy("kind", "root").applyInPandas(run, "kind string, label string, canonical string, matched boolean")
+    return labels.select("kind", "seq", "label").join(found, ["kind", "label"]).select("kind", "seq", "label", "canonical", "matched")
+
+
+REF = "struct<doc_id:string,chunk_id:string,title:string,source_path:string,page_start:int,page_end:int,quote:string>"
+#: Lists of a concept: what their items are, and how the concept is related to them.
+PARTS = (("prerequisites", "concept", "REQUIRES"), ("related", "concept", "RELATED_TO"), ("formulas", "formula", "HAS_FORMULA"), ("problem_types", "problem_type", "USED_IN_PROBLEM_TYPE"))
+
+
+def upsert_events(chunks: DataFrame, extractions: DataFrame) -> DataFrame:
+    """What a build says about nodes, in order: kind, label, description, aliases, properties, source, order; and what an
+    event's node is related to: relation, weight, evidence, owner (a label)."""
+    have = set(chunks.columns)
+    page = lambda n: (F.col(n) if n in have else F.lit(None)).cast("int").alias(n)
+    path = (F.col("source_path") if "source_path" in have else F.lit(None)).cast("string").alias("source_path")
+    own = chunks.select("chunk_id", F.col("doc_id").cast("string").alias("doc_id"), "title", F.col("text").alias("body"), F.col("ordinal").alias("at"), path, page("page_start"), page("page_end"))
+    rows = extractions.select("chunk_id", "concepts").join(own, "chunk_id").withColumn("name", F.coalesce(F.nullif("title", F.lit("")), "chunk_id"))
+    ref = lambda quote: F.struct("doc_id", "chunk_id", "title", "source_path", "page_start", "page_end", quote.cast("string").alias("quote")).cast(REF)
+    none, nothing, text = F.array().cast("array<string>"), F.lit(None).cast("string"), lambda c: c.cast("string")
+    order = lambda i, tier, p: F.struct("chunk_id", i.cast("int").alias("i"), F.lit(tier).alias("tier"), p.cast("int").alias("p"))
+
+    def event(rows, kind, label, description, aliases, properties, quote, place, relation, owner):
+        weight, evidence = (F.col("c.confidence"), F.col("c.evidence")) if relation else (F.lit(None).cast("double"), nothing)
+        relation = F.lit(relation).cast("string")
+        return rows.select(F.lit(kind).alias("kind"), label.alias("label"), description.alias("description"), aliases.alias("aliases"), properties.cast("map<string,string>").alias("properties"), ref(quote).alias("source"), place.alias("order"), relation.alias("relation"), weight.alias("weight"), evidence.alias("evidence"), owner.alias("owner"))
+
+    about = F.create_map(F.lit("doc_id"), F.col("doc_id"), F.lit("chunk_id"), F.col("chunk_id"), F.lit("ordinal"), text(F.col("at")))
+    events = event(rows, "source_chunk", F.col("name"), F.substring("body", 1, 500), none, about, nothing, order(F.lit(-1), 0, F.lit(0)), None, nothing)
+    each = rows.select("*", F.posexplode("concepts").alias("i", "c")).where("trim(coalesce(c.name, '')) <> ''")
+    kept = F.create_map(F.lit("bloom_level"), F.col("c.bloom_level"), F.lit("confidence"), text(F.col("c.confidence")))
+    quote = F.col("c.evidence")
+    events = events.unionByName(event(each, "concept", F.col("c.name"), F.col("c.description"), F.coalesce("c.aliases", none), kept, quote, order(F.col("i"), 0, F.lit(0)), "MENTIONED_IN", F.col("name")))
+    for tier, (field, kind, relation) in enumerate(PARTS, 1):
+        item = each.select("*", F.posexplode(f"c.{field}").alias("p", "item"))
+        events = events.unionByName(event(item, kind, F.col("item"), F.lit(""), none, F.lit(None), quote, order(F.col("i"), tier, F.col("p")), relation, F.col("c.name")))
+    return events.withColumn("label", L.stripped(F.col("label"))).withColumn("owner", L.stripped(F.col("owner"))).where("label <> ''")
+
+
+def build_graph(chunks: DataFrame, extractions: DataFrame, threshold: float = THRESHOLD, deduper=resolve_in_order) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of extracted concepts (chunk_id, concepts), with provenance; chunks without any are left out.
+
+    ``deduper`` says which label stands for which: a function of distinct labels (kind, seq, label, aliases) and the
+    threshold that returns kind, label, canonical.
+    """
+    nodes, edges, _ = build_with_report(chunks, extractions, threshold, deduper)
+    return nodes, edges
+
+
+def build_with_report(chunks: DataFrame, extractions: DataFrame, threshold: float = THRESHOLD, deduper=resolve_in_order) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As ``build_graph``, with one row of counters: chunks and concepts seen, nodes and edges created, duplicates merged."""
+    events = _saved(upsert_events(chunks, extractions))
+    # An order for all events of a kind: a node's and an edge's parts are taken by it.
+    first = events.groupBy("kind", "label").agg(F.min("order").alias("seq"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("aliases")))).alias("aliases"))
+    names = _saved(deduper(first.select("kind", "seq", "label", "aliases"), threshold))
+    placed = events.withColumnRenamed("order", "seq").join(names.select("kind", "label", "canonical"), ["kind", "label"]).withColumn("node_id", L.node_id(F.col("kind"), F.col("canonical")))
+    placed = _saved(placed)
+    nodes = _saved(_merged(placed))
+    owners = names.select(F.col("kind").alias("owner_kind"), F.col("label").alias("owner"), L.node_id(F.col("kind"), F.col("canonical")).alias("owner_id"))
+    related = placed.where("relation IS NOT NULL").withColumn("owner_kind", F.when(F.col("relation") == "MENTIONED_IN", "source_chunk").otherwise("concept"))
+    related = related.join(owners, ["owner_kind", "owner"])
+    outward = F.col("relation") != "MENTIONED_IN"
+    ends = [F.when(outward, F.col("owner_id")).otherwise(F.col("node_id")).alias("source_id"), F.when(outward, F.col("node_id")).otherwise(F.col("owner_id")).alias("target_id")]
+    edges = _saved(merge_edges(related.select(*ends, "relation", "weight", "evidence", "seq", "source")))
+    merged = names.agg(F.count_if("matched").alias("n")) if "matched" in names.columns else names.agg(F.count_if(F.col("canonical") != F.col("label")).alias("n"))
+    seen = events.agg(F.count_if(F.col("kind") == "source_chunk").alias("chunks_seen"), F.count_if(F.col("relation") == "MENTIONED_IN").alias("concepts_seen"))
+    report = seen.join(nodes.agg(F.count(F.lit(1)).alias("nodes_created"))).join(edges.agg(F.count(F.lit(1)).alias("edges_created"))).join(merged.withColumnRenamed("n", "duplicate_nodes_merged"))
+    return nodes, edges, report  # the report joins single rows
+
+
+def _merged(placed: DataFrame) -> DataFrame:
+    """Nodes of resolved events: the canonical label is the node's own."""
+    nodes = merge_nodes(placed.select("node_id", "kind", "seq", "label", "description", "aliases", "properties", "source"))
+    names = placed.select("node_id", "canonical").distinct().groupBy("node_id").agg(F.min("canonical").alias("canonical"))
+    whole = nodes.join(names, "node_id").withColumn("aliases", F.array_except(F.concat(F.array("label"), "aliases"), F.array("canonical")))
+    return whole.withColumn("label", F.col("canonical")).drop("canonical")
 
 
 def without_chunk(chunks: DataFrame, extractions: DataFrame) -> DataFrame:

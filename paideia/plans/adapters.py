@@ -24,14 +24,18 @@ SQL = {
         FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey""",
     "observations": """
         SELECT CAST(user_id AS BIGINT) AS learner_id, concat('n', CAST(CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) % 20 AS STRING)) AS node_id, event_type <> 'error' AS correct,
-               ts, CAST(event_id AS BIGINT) AS event_id, CAST(CAST(floor(abs(value)) AS BIGINT) % 6 AS INT) AS quality, CASE WHEN event_type = 'error' THEN concat('mistake ', regexp_extract(props, '([0-9]+)', 1)) END AS mistake
+               ts, CAST(event_id AS BIGINT) AS event_id, CASE WHEN event_id % 9 = 0 THEN NULL ELSE CAST(CAST(floor(abs(value)) AS BIGINT) % 6 AS INT) END AS quality, CASE WHEN event_type = 'error' THEN concat('mistake ', regexp_extract(props, '([0-9]+)', 1)) END AS mistake
         FROM {events}""",
     "docs": "SELECT doc_id, source AS title, replace(coalesce(text, ''), chr(10), concat(chr(10), chr(10))) AS text FROM {documents}",
     "raw_docs": "SELECT doc_id, source AS title, coalesce(text, '') AS text FROM {documents}",
     "page_parts": """
         SELECT CAST(floor(page_id / 5) AS BIGINT) AS doc_id, page_id, concat(substr('######', 1, CAST(1 + page_id % 3 AS INT)), ' ', regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1), chr(10), chr(10),
-               regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[#`]', ' ', 'g'), chr(10)) AS part
+               regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[#`]', ' ', 'g'), chr(10),
+               CASE WHEN page_id % 2 = 0 THEN concat('```', chr(10), '# no heading', chr(10), '```', chr(10), '#### Note ', CAST(page_id AS STRING), chr(10), chr(10), 'A short remark on page ', CAST(page_id AS STRING), '.', chr(10)) ELSE '' END) AS part
         FROM {pages}""",
+    "points": "SELECT CAST(floor(page_id / 5) AS BIGINT) AS doc_id, concat('f', CAST(page_id AS STRING)) AS formula_id, CAST(page_id * 7919 % 6000 AS INT) AS start_char FROM {pages}",
+    "concepts": """
+        SELECT concat('c', CAST(CAST(floor(k / 200) AS BIGINT) AS STRING)) AS chunk_id, CAST(k % 200 AS INT) AS pos, label AS name, concat(label, ' ', id) AS description, id AS alias, exam_relevance AS confidence FROM nodes""",
     "exercises": """
         SELECT concat('e', CAST(item_id AS STRING)) AS exercise_id, text AS statement, item_id,
                concat('n', CAST(item_id % 20 AS STRING)) AS need1, concat('n', CAST(3 * item_id % 20 AS STRING)) AS need2, CAST(item_id % 10 AS DOUBLE) / CAST(10 AS DOUBLE) AS difficulty,
@@ -42,9 +46,14 @@ SQL = {
 TABLES = ("part", "lineitem", "events", "documents", "pages", "benchmark", "conversations", "embeddings")
 
 
-def adapter(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def adapter(spark: SparkSession, sf_dir: str, name: str, stream: bool = False) -> DataFrame:
+    """A derived table; ``stream`` reads its source as a stream."""
     text = SQL[name].replace(", 'g')", ")")  # Spark replaces all matches anyway
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in text}
+    if stream:
+        used = {t: spark.readStream.schema(df.schema).option("pathGlobFilter", f"{t}.parquet").parquet(sf_dir) for t, df in used.items()}
+    if name == "concepts":
+        text, used = text.replace("FROM nodes", "FROM {nodes}"), {"nodes": adapter(spark, sf_dir, "nodes")}
     return spark.sql(text, **used)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +13,9 @@ from pyspark.sql.window import Window
 from ..functions import attributes as A
 from ..functions import labels as L
 from ..operators import chunking, graph, learner, markdown, resolution, search
+from ..sources import files
+from ..streaming import mastery
+from . import context
 from .adapters import adapter, ctes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,21 +43,21 @@ D = "CAST({} AS DOUBLE)".format
 ATTRS = f"""
 attrs AS (SELECT id, label, kind, is_threshold,
   CASE WHEN is_threshold THEN {D('0.90')} WHEN kind = 'formula' THEN {D('0.75')} ELSE {D('0.80')} END AS threshold,
-  coalesce(greatest({D(0)}, least({D(1)}, difficulty_given)), CASE kind WHEN 'formula' THEN {D('0.45')} WHEN 'problem_type' THEN {D('0.65')} ELSE {D('0.50')} END) AS difficulty,
+  coalesce(CASE WHEN difficulty_given IS NOT NULL THEN greatest({D(0)}, least({D(1)}, difficulty_given)) END, CASE kind WHEN 'formula' THEN {D('0.45')} WHEN 'problem_type' THEN {D('0.65')} ELSE {D('0.50')} END) AS difficulty,
   coalesce(nullif(minutes, 0), 15) AS minutes, coalesce(nullif(exam_relevance, {D(0)}), {D('0.5')}) AS exam_relevance FROM nodes)"""
 FOLD = f"""
 seq AS (SELECT *, row_number() OVER (PARTITION BY learner_id, node_id ORDER BY ts, event_id) AS rn FROM observations),
 folded AS (
   SELECT learner_id, node_id, CAST(0 AS BIGINT) AS rn, {D(0)} AS mastery, {D(0)} AS linear, CAST(NULL AS VARCHAR) AS gap_type, 0 AS attempts, 0 AS correct_attempts, 0 AS streak,
-         {D('2.5')} AS easiness, 0 AS interval_days, 0 AS repetitions, CAST(NULL AS TIMESTAMP) AS last_at
+         {D('2.5')} AS easiness, 0 AS interval_days, 0 AS repetitions, CAST(NULL AS TIMESTAMP) AS last_at, CAST(NULL AS TIMESTAMP) AS reviewed_at
   FROM seq WHERE rn = 1
   UNION ALL
   SELECT learner_id, node_id, rn, m, linear, CASE WHEN m >= {D('0.8')} THEN 'mastered' WHEN correct THEN NULL WHEN mastery < {D('0.4')} THEN 'fundamental_gap' WHEN mastery < {D('0.7')} THEN 'transfer_gap' ELSE 'trap_vulnerability' END,
          attempts + 1, correct_attempts + CAST(correct AS INT), CASE WHEN correct THEN streak + 1 ELSE 0 END,
-         greatest({D('1.3')}, least({D('2.5')}, easiness + ({D('0.1')} - (5 - q) * ({D('0.08')} + (5 - q) * {D('0.02')})))),
-         CASE WHEN q >= 3 AND repetitions = 1 THEN 6 WHEN q >= 3 AND repetitions > 1 THEN CAST(greatest({D(1)}, round_even(greatest(interval_days, 6) * easiness, 0)) AS INT) ELSE 1 END,
-         CASE WHEN q >= 3 THEN repetitions + 1 ELSE 0 END, ts
-  FROM (SELECT f.learner_id, f.node_id, s.rn, f.mastery, f.gap_type, f.attempts, f.correct_attempts, f.streak, f.easiness, f.interval_days, f.repetitions, s.correct, s.quality AS q, s.ts,
+         CASE WHEN q IS NULL THEN easiness ELSE greatest({D('1.3')}, least({D('2.5')}, easiness + ({D('0.1')} - (5 - q) * ({D('0.08')} + (5 - q) * {D('0.02')})))) END,
+         CASE WHEN q IS NULL THEN interval_days WHEN q >= 3 AND repetitions = 1 THEN 6 WHEN q >= 3 AND repetitions > 1 THEN CAST(greatest({D(1)}, round_even(greatest(interval_days, 6) * easiness, 0)) AS INT) ELSE 1 END,
+         CASE WHEN q IS NULL THEN repetitions WHEN q >= 3 THEN repetitions + 1 ELSE 0 END, ts, CASE WHEN q IS NULL THEN reviewed_at ELSE ts END
+  FROM (SELECT f.learner_id, f.node_id, s.rn, f.mastery, f.gap_type, f.attempts, f.correct_attempts, f.streak, f.easiness, f.interval_days, f.repetitions, f.reviewed_at, s.correct, s.quality AS q, s.ts,
           greatest({D(0)}, least({D(1)}, f.linear + CASE WHEN s.correct THEN {D('0.15')} ELSE {D('-0.10')} END)) AS linear,
           greatest({D('0.01')}, least({D('0.99')}, p.post + ({D(1)} - p.post) * {D('0.2')})) AS m
         FROM folded f JOIN seq s ON s.learner_id = f.learner_id AND s.node_id = f.node_id AND s.rn = f.rn + 1,
@@ -105,9 +110,9 @@ def linear_mastery(spark, d):
     return _states(spark, d).select("learner_id", "node_id", F.round("linear", 6).alias("mastery"))
 
 
-@query(_fold_sql("round(easiness, 6) AS easiness, interval_days, repetitions, strftime(CAST(last_at AS DATE) + interval_days, '%Y-%m-%d') AS next_review"))
+@query(_fold_sql("round(easiness, 6) AS easiness, interval_days, repetitions, strftime(CAST(reviewed_at AS DATE) + interval_days, '%Y-%m-%d') AS next_review"))
 def sm2_schedule(spark, d):
-    return _states(spark, d).select("learner_id", "node_id", *r6("easiness"), "interval_days", "repetitions", F.date_format(F.date_add(F.col("last_at").cast("date"), F.col("interval_days")), "yyyy-MM-dd").alias("next_review"))
+    return _states(spark, d).select("learner_id", "node_id", *r6("easiness"), "interval_days", "repetitions", F.date_format(F.date_add(F.col("reviewed_at").cast("date"), F.col("interval_days")), "yyyy-MM-dd").alias("next_review"))
 
 
 @query(_fold_sql("streak, gap_type"))
@@ -126,19 +131,48 @@ def ability(spark, d):
     return learner.abilities(_states(spark, d)).select("learner_id", *r6("ability"), "n_states")
 
 
-@query(_fold_sql(f"""last_at + to_days(interval_days) <= TIMESTAMP '{AS_OF}' AS due,
-  round((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(last_at + to_days(interval_days))) / CAST(86400000000 AS DOUBLE) * (1 - mastery * CAST(0.3 AS DOUBLE)) * 10, 4) AS priority"""))
+DUE = f"""CASE WHEN reviewed_at IS NULL THEN attempts > 0 ELSE reviewed_at + to_days(interval_days) <= TIMESTAMP '{AS_OF}' END AS due,
+  CASE WHEN reviewed_at IS NULL THEN CASE WHEN attempts > 0 THEN {D(1)} ELSE {D(0)} END ELSE (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(reviewed_at + to_days(interval_days))) / CAST(86400000000 AS DOUBLE) * (1 - mastery * CAST(0.3 AS DOUBLE)) * 10 END AS priority"""
+
+
+@query(_with(OBS, FOLD, f"SELECT learner_id, node_id, due, round(priority, 4) AS priority FROM (SELECT *, {DUE} FROM states)", True))
 def due_reviews(spark, d):
     rows = learner.due(_states(spark, d), F.lit(AS_OF).cast("timestamp"))
     return rows.select("learner_id", "node_id", "due", F.round("priority", 4).alias("priority"))
 
 
+@query(_with(("observations", "nodes"), FOLD, f"""SELECT id, label, round(mastery, 6) AS mastery, round(priority, 4) AS priority, row_number() OVER (ORDER BY priority DESC, id) AS place
+  FROM (SELECT *, {DUE} FROM states WHERE learner_id = {LEARNER}) s JOIN nodes n ON n.id = s.node_id WHERE due QUALIFY place <= 10""", True))
+def due_top(spark, d):
+    rows = learner.due_list(_nodes(spark, d), _states(spark, d), LEARNER, F.lit(AS_OF).cast("timestamp"))
+    return rows.select("id", "label", *r6("mastery"), F.round("priority", 4).alias("priority"), F.row_number().over(Window.orderBy(F.desc("priority"), "id")).alias("place"))
+
+
 @query(_with(OBS, "", "SELECT learner_id, mistake, count(*) AS n, max(ts) AS last_at FROM observations WHERE mistake IS NOT NULL GROUP BY learner_id, mistake"))
 def profile_mistakes(spark, d):
     rows = adapter(spark, d, "observations").where("mistake IS NOT NULL")
     return rows.groupBy("learner_id", "mistake").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last_at"))
 
 
+@query(_with(OBS, f"""{FOLD}, first AS (SELECT node_id, mistake, min(rn) AS rn FROM seq WHERE learner_id = {LEARNER} AND mistake IS NOT NULL GROUP BY 1, 2),
+  told AS (SELECT f.mistake, min([-epoch_us(s.last_at), 0]) AS late, arg_min(f.node_id, [CAST(-epoch_us(s.last_at) AS VARCHAR), f.node_id]) AS x, min(struct_pack(t := -epoch_us(s.last_at), n := f.node_id, p := f.rn)) AS o FROM first f JOIN states s ON s.learner_id = {LEARNER} AND s.node_id = f.node_id GROUP BY 1)""",
+    "SELECT row_number() OVER (ORDER BY o, mistake) AS place, mistake FROM told QUALIFY place <= 8", True))
+def recent_mistakes(spark, d):
+    return learner.recent_mistakes(_states(spark, d), LEARNER)
+
+
+@query(_fold_sql("round(correct_attempts / CAST(attempts AS DOUBLE), 6) AS accuracy"))
+def accuracy(spark, d):
+    return _states(spark, d).select("learner_id", "node_id", F.round(learner.accuracy(F.col("attempts"), F.col("correct_attempts")), 6).alias("accuracy"))
+
+
+@query(_fold_sql("round(mastery, 6) AS mastery, round(linear, 6) AS linear, attempts, correct_attempts, streak, gap_type, round(easiness, 6) AS easiness, interval_days, repetitions"))
+def stream_mastery(spark, d):
+    """The whole state, from the events as a stream that is read to its end."""
+    found = mastery.traced(adapter(spark, d, "observations", stream=True), f"{graph.shared_folder(spark)}/stream-{uuid.uuid4().hex}")
+    return found.select("learner_id", "node_id", *r6("mastery", "linear"), "attempts", "correct_attempts", "streak", "gap_type", *r6("easiness"), "interval_days", "repetitions")
+
+
 # Readiness
 
 def _candidates(spark, d):
@@ -177,6 +211,27 @@ def next_node(spark, d):
     return learner.next_node(_candidates(spark, d)).select("id", "label", "ready")
 
 
+@query(_with(ALL, VIEW, "SELECT count(*) FILTER (mastery >= threshold) AS mastered_count, count(*) AS total_trackable FROM seen", True))
+def learner_totals(spark, d):
+    return learner.totals(learner.overlay(_nodes(spark, d), _states(spark, d), LEARNER))
+
+
+@query(_with(ALL, VIEW, f"""SELECT id AS node_id, bucket, round(score, 6) AS score, row_number() OVER (PARTITION BY bucket ORDER BY CASE WHEN bucket = 'blocked' THEN n_unmet ELSE 0 END, {_ORDER}) AS rank,
+  CASE WHEN bucket = 'blocked' THEN 'blocked_by_prerequisites' ELSE 'prerequisites_met' END AS reason, a.exam_relevance, unmet FROM cand JOIN attrs a USING (id, label, kind, difficulty) QUALIFY rank <= 5""", True))
+def candidates_top(spark, d):
+    best = learner.ranked(_candidates(spark, d), 5)
+    return learner.candidate_packets(best, _nodes(spark, d)).select("node_id", "bucket", *r6("score"), "rank", "reason", "exam_relevance", F.array_join("unmet_prerequisites", "|").alias("unmet"))
+
+
+@query(_with(ALL, VIEW, f"""SELECT s.id, s.label, s.kind, round(s.mastery, 6) AS mastery, s.threshold, s.difficulty, a.minutes, a.exam_relevance, coalesce(o.attempts, 0) AS attempts,
+  CASE WHEN s.mastery >= s.threshold THEN 'mastered' WHEN s.mastery <= {D('0.05')} THEN 'unknown' WHEN s.mastery < {D('0.4')} THEN 'fragile' ELSE 'learning' END AS status
+  FROM seen s JOIN attrs a USING (id) LEFT JOIN (SELECT node_id, attempts FROM states WHERE learner_id = {LEARNER}) o ON o.node_id = s.id""", True))
+def node_packets(spark, d):
+    p = search.node_packets(_nodes(spark, d), _states(spark, d), LEARNER, fields=["properties", "learner_state", "no_such_field"])
+    state, own = "learner_state", "properties"
+    return p.select("id", "label", "kind", F.round(f"{state}.mastery", 6).alias("mastery"), f"{state}.threshold", f"{own}.difficulty", F.col(f"{own}.estimated_minutes").alias("minutes"), f"{own}.exam_relevance", f"{state}.attempts", f"{state}.status")
+
+
 # Graph
 
 REQ = "req AS (SELECT e.source_id AS id, e.target_id AS needs FROM edges e WHERE relation = 'REQUIRES' AND source_id IN (SELECT id FROM nodes) AND target_id IN (SELECT id FROM nodes))"
@@ -198,9 +253,10 @@ near AS (SELECT s.*, n.label, n.kind FROM steps s JOIN nodes n ON n.id = s.neigh
 
 
 @query(_with(GRAPH, NEAR + f", one AS (SELECT *, 1 AS depth FROM near WHERE id = '{TARGET}'), two AS (SELECT n.*, 2 AS depth FROM near n WHERE n.id IN (SELECT neighbour FROM one WHERE neighbour <> '{TARGET}'))",
-    "SELECT id AS from_id, neighbour AS id, label, kind, direction, relation, depth FROM (SELECT * FROM one UNION ALL SELECT * FROM two)"))
+    "SELECT id AS from_id, neighbour AS id, label, kind, direction, relation, depth, row_number() OVER (ORDER BY depth, direction, label, neighbour, id, relation) AS place FROM (SELECT * FROM one UNION ALL SELECT * FROM two)"))
 def relatives_k2(spark, d):
-    return graph.relatives(_nodes(spark, d), _edges(spark, d), TARGET, depth=2)
+    rows = graph.relatives(_nodes(spark, d), _edges(spark, d), TARGET, depth=2)
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(*graph.nearest_first())))
 
 
 @query(_with(GRAPH, f"""{REQ}, {ATTRS}, walk AS (SELECT [CAST('{TARGET}' AS VARCHAR)] AS path FROM nodes WHERE id = '{TARGET}' UNION ALL SELECT list_prepend(r.needs, w.path) FROM walk w JOIN req r ON r.id = w.path[1]),
@@ -234,6 +290,20 @@ def path_sessions(spark, d):
     return graph.sessions(_path(spark, d))
 
 
+@query(_with(ALL, PATH.replace(f"SELECT '{TARGET}' AS id UNION", f"(SELECT id FROM cand WHERE bucket = 'zpd' ORDER BY ready DESC, {_ORDER} LIMIT 1) UNION"), "SELECT step, id, label, minutes FROM steps", True))
+def path_to_best(spark, d):
+    """The path to the candidate that comes first."""
+    best = learner.next_node(_candidates(spark, d)).first()
+    view = learner.overlay(_nodes(spark, d), _states(spark, d), LEARNER)
+    return graph.learning_path(view, _edges(spark, d), best.id).select("step", "id", "label", "minutes")
+
+
+@query(_with(ALL, PATH + ", packed AS (SELECT CAST(0 AS BIGINT) AS step, 0 AS session, 0 AS total, 0 AS minutes UNION ALL SELECT s.step, CASE WHEN p.total > 0 AND p.total + s.minutes > 35 THEN p.session + 1 ELSE p.session END, CASE WHEN p.total > 0 AND p.total + s.minutes > 35 THEN s.minutes ELSE p.total + s.minutes END, s.minutes FROM packed p JOIN steps s ON s.step = p.step + 1)",
+    "SELECT session, CAST(sum(minutes) AS BIGINT) AS minutes, count(*) AS n_steps FROM packed WHERE step > 0 GROUP BY session", True))
+def session_totals(spark, d):
+    return graph.session_totals(_path(spark, d))
+
+
 # Text
 
 STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')".format
@@ -250,43 +320,61 @@ def doc_ids(spark, d):
     return adapter(spark, d, "raw_docs").select("doc_id", L.doc_id(F.col("title")).alias("stable_id"))
 
 
-HARD = f"""
-plain AS (SELECT doc_id, {STRIP('text')} AS text FROM raw_docs WHERE NOT contains(text, chr(10) || chr(10))),
-sliced AS (SELECT doc_id, i AS ordinal, substr(text, i * 3200 + 1, 3500) AS text FROM plain, LATERAL unnest(generate_series(0, greatest(0, CAST(ceil((length(text) - 3500) / CAST(3200 AS DOUBLE)) AS BIGINT)))) t(i) WHERE text <> ''),
-chunks AS (SELECT concat('chunk:', CAST(doc_id AS VARCHAR), ':', lpad(CAST(ordinal AS VARCHAR), 5, '0'), ':', substr(sha1(concat(CAST(doc_id AS VARCHAR), ':', CAST(ordinal AS VARCHAR), ':', substr(text, 1, 200))), 1, 12)) AS chunk_id, * FROM sliced)"""
+def _packed(source: str) -> str:
+    """The packing of paragraphs, one step of the recursion each."""
+    return f"""
+paragraphs AS (SELECT doc_id, p, row_number() OVER (PARTITION BY doc_id ORDER BY nth) AS i FROM (SELECT doc_id, {STRIP('p0')} AS p, nth FROM (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS p0, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS nth FROM {source})) WHERE p <> ''),
+packing AS (
+  SELECT doc_id, CAST(0 AS BIGINT) AS i, CAST('' AS VARCHAR) AS cur, CAST([] AS VARCHAR[]) AS emitted FROM paragraphs WHERE i = 1
+  UNION ALL
+  SELECT doc_id, i, CASE WHEN length(joined) <= 3500 THEN joined ELSE substr(p, slices * 3200 + 1, 3500) END,
+    CASE WHEN length(joined) <= 3500 THEN CAST([] AS VARCHAR[]) ELSE list_concat(CASE WHEN cur = '' THEN CAST([] AS VARCHAR[]) ELSE [cur] END, list_transform(range(slices), lambda k: substr(p, k * 3200 + 1, 3500))) END
+  FROM (SELECT w.doc_id, p.i, w.cur, p.p, CASE WHEN w.cur = '' THEN p.p ELSE concat(w.cur, chr(10), chr(10), p.p) END AS joined, greatest(0, CAST(ceil((length(p.p) - 3500) / CAST(3200 AS DOUBLE)) AS BIGINT)) AS slices FROM packing w JOIN paragraphs p ON p.doc_id = w.doc_id AND p.i = w.i + 1)
+),
+sliced AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1 AS ordinal, text FROM (
+  SELECT doc_id, i, unnest(emitted) AS text, generate_subscripts(emitted, 1) AS k FROM packing
+  UNION ALL SELECT doc_id, i + 1, cur, 0 FROM (SELECT *, max(i) OVER (PARTITION BY doc_id) AS last FROM packing) WHERE i = last AND cur <> '')),
+chunks AS (SELECT concat('chunk:', CAST(s.doc_id AS VARCHAR), ':', lpad(CAST(ordinal AS VARCHAR), 5, '0'), ':', substr(sha1(concat(CAST(s.doc_id AS VARCHAR), ':', CAST(ordinal AS VARCHAR), ':', substr(s.text, 1, 200))), 1, 12)) AS chunk_id, s.doc_id, d.title, CAST(ordinal AS INT) AS ordinal, s.text FROM sliced s JOIN {source} d USING (doc_id))"""
+
+
+HARD = _packed("raw_docs")
 
 
 def _raw_chunks(spark, d):
-    return chunking.chunk_documents(adapter(spark, d, "raw_docs").where("NOT contains(text, '\n\n')"))
+    return chunking.chunk_documents(adapter(spark, d, "raw_docs"))
 
 
-@query(_with(("raw_docs",), HARD, "SELECT chunk_id, doc_id, ordinal, length(text) AS n_chars FROM chunks"))
+@query(_with(("raw_docs",), HARD, "SELECT chunk_id, doc_id, ordinal, length(text) AS n_chars FROM chunks", True))
 def chunk_hard_slice(spark, d):
     return _raw_chunks(spark, d).select("chunk_id", "doc_id", "ordinal", F.length("text").alias("n_chars"))
 
 
-@query(_with(("raw_docs",), HARD, "SELECT chunk_id, lag(chunk_id) OVER w AS previous_chunk_id, lead(chunk_id) OVER w AS next_chunk_id FROM chunks WINDOW w AS (PARTITION BY doc_id ORDER BY ordinal)"))
+@query(_with(("raw_docs",), HARD, "SELECT chunk_id, lag(chunk_id) OVER w AS previous_chunk_id, lead(chunk_id) OVER w AS next_chunk_id FROM chunks WINDOW w AS (PARTITION BY doc_id ORDER BY ordinal)", True))
 def chunk_links(spark, d):
     return chunking.linked(_raw_chunks(spark, d)).select("chunk_id", "previous_chunk_id", "next_chunk_id")
 
 
-@query()
+@query(_with(("docs",), _packed("docs"), "SELECT chunk_id, doc_id, title, ordinal, md5(text) AS text_md5 FROM chunks", True))
 def chunk_pack(spark, d):
-    return chunking.chunk_documents(adapter(spark, d, "docs"))
+    return chunking.chunk_documents(adapter(spark, d, "docs")).select("chunk_id", "doc_id", "title", "ordinal", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 #: Rules that the synthetic texts meet, beside the built-in ones.
 TEXT_RULES = (*chunking.RULES, (r"token\s*=", "Token", ()), (r"licen[sc]e", "Licence", ("L",)), (r"(^|[^a-z])(der|die|und)([^a-z]|$)", "German words", ()))
 
 
-@query(_with(("raw_docs",), HARD, "SELECT c.chunk_id, CAST(r.pos AS INT) AS pos, r.name FROM chunks c JOIN (VALUES " + ", ".join(f"({i}, '{n}', '{p}')" for i, (p, n, _) in enumerate(TEXT_RULES)) + ") r(pos, name, pattern) ON regexp_matches(lower(c.text), r.pattern)"))
+@query(_with(("raw_docs",), HARD, "SELECT c.chunk_id, CAST(r.pos AS INT) AS pos, r.name FROM chunks c JOIN (VALUES " + ", ".join(f"({i}, '{n}', '{p}')" for i, (p, n, _) in enumerate(TEXT_RULES)) + ") r(pos, name, pattern) ON regexp_matches(lower(c.text), r.pattern)", True))
 def rule_extract(spark, d):
     return chunking.extract_by_rules(_raw_chunks(spark, d), TEXT_RULES).select("chunk_id", "pos", "name")
 
 
-@query()
+_QUOTED = {n: t.replace("'", "''") for n, t in (("system", chunking.SYSTEM_PROMPT), ("prompt", chunking.PROMPT))}
+PROMPT = STRIP("replace(replace(replace('" + _QUOTED["prompt"] + "', '{title}', title), '{chunk_id}', chunk_id), '{text}', substr(text, 1, 4500))")
+
+
+@query(_with(("raw_docs",), HARD, f"SELECT chunk_id, '{_QUOTED['system']}' AS system, md5({PROMPT}) AS prompt_md5 FROM chunks", True))
 def prompt_sink(spark, d):
-    return chunking.prompts(_raw_chunks(spark, d))
+    return chunking.prompts(_raw_chunks(spark, d)).select("chunk_id", "system", F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"))
 
 
 def _markdown(spark, d):
@@ -299,25 +387,46 @@ def _markdown(spark, d):
 MARK = r"""
 md AS (SELECT doc_id, regexp_replace(string_agg(part, chr(10) ORDER BY page_id), '\r\n?', chr(10), 'g') AS text FROM page_parts GROUP BY doc_id),
 lines AS (SELECT doc_id, length(text) AS n, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM md),
-placed AS (SELECT *, coalesce(sum(length(s) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_char FROM lines),
-heads AS (SELECT *, row_number() OVER w - 1 AS ordinal, coalesce(lead(start_char) OVER w, n) AS end_char, length(regexp_extract(s, '^(#{1,6})', 1)) AS level FROM placed WHERE regexp_matches(s, '^#{1,6}\s+.+$') WINDOW w AS (PARTITION BY doc_id ORDER BY line))"""
+placed AS (SELECT *, coalesce(sum(length(s) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_char,
+  sum(CASE WHEN regexp_matches(s, '^\s*```') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fences FROM lines),
+found AS (SELECT *, row_number() OVER w - 1 AS ordinal, coalesce(lead(start_char) OVER w, n) AS end_char, length(regexp_extract(s, '^(#{1,6})', 1)) AS level FROM placed WHERE fences % 2 = 0 AND regexp_matches(s, '^#{1,6}\s+.+$') WINDOW w AS (PARTITION BY doc_id ORDER BY line)),
+heads AS (SELECT f.doc_id, ordinal, level, start_char, end_char, coalesce(nullif(substr(regexp_replace(regexp_replace(regexp_extract(s, '^#{1,6}\s+(.+)$', 1), '\s{2,}', ' ', 'g'), '^\s+|\s+$', '', 'g'), 1, 120), ''), 'Untitled') AS title,
+  regexp_replace(substr(m.text, CAST(start_char + length(s) + 2 AS INT), CAST(greatest(0, end_char - start_char - length(s) - 1) AS INT)), '^\s+|\s+$', '', 'g') AS body FROM found f JOIN md m USING (doc_id))"""
 
 
-@query(_with(("page_parts",), MARK, "SELECT doc_id, CAST(ordinal AS INT) AS ordinal, CAST(level AS INT) AS level, CAST(start_char AS INT) AS start_char, CAST(end_char AS INT) AS end_char FROM heads"))
+def _sections(spark, d):
+    return markdown.heading_sections(_markdown(spark, d))
+
+
+@query(_with(("page_parts",), MARK, "SELECT doc_id, CAST(ordinal AS INT) AS ordinal, CAST(level AS INT) AS level, CAST(start_char AS INT) AS start_char, CAST(end_char AS INT) AS end_char, title, md5(body) AS text_md5 FROM heads"))
 def md_sections(spark, d):
-    return markdown.heading_sections(_markdown(spark, d)).select("doc_id", "ordinal", "level", "start_char", "end_char")
+    return _sections(spark, d).select("doc_id", "ordinal", "level", "start_char", "end_char", "title", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 @query(_with(("page_parts",), MARK, "SELECT h.doc_id, CAST(h.ordinal AS INT) AS ordinal, CAST(max(p.ordinal) AS INT) AS parent FROM heads h LEFT JOIN heads p ON p.doc_id = h.doc_id AND p.ordinal < h.ordinal AND p.level < h.level GROUP BY 1, 2"))
 def section_parent(spark, d):
-    s = markdown.with_parents(markdown.heading_sections(_markdown(spark, d)))
+    s = markdown.with_parents(_sections(spark, d))
     p = s.select("doc_id", F.col("section_id").alias("parent_id"), F.col("ordinal").alias("parent"))
     return s.join(p, ["doc_id", "parent_id"], "left").select("doc_id", "ordinal", "parent")
 
 
-@query()
+THIN = f"""{MARK}, kept AS (SELECT *, ordinal = 0 OR CASE WHEN {WORDS('body')} = 0 THEN 0 ELSE greatest(1, CAST(floor({WORDS('body')} * CAST(0.75 AS DOUBLE)) AS INT)) END >= 50 AS stays FROM heads),
+runs AS (SELECT *, sum(CAST(stays AS INT)) OVER (PARTITION BY doc_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM kept)"""
+
+
+@query(_with(("page_parts",), THIN, f"""SELECT doc_id, CAST(min(ordinal) AS INT) AS ordinal, arg_min(title, ordinal) AS title, coalesce(string_agg(title, '|' ORDER BY ordinal) FILTER (NOT stays), '') AS merged_titles, CAST(max(end_char) AS INT) AS end_char,
+  md5({STRIP("string_agg(CASE WHEN stays THEN body ELSE regexp_replace(concat(chr(10), chr(10), '## ', title, chr(10), body), '" + chr(92) + "s+$', '') END, '' ORDER BY ordinal)")}) AS text_md5 FROM runs GROUP BY doc_id, run"""))
 def thin_sections(spark, d):
-    return markdown.thinned(markdown.heading_sections(_markdown(spark, d)), 400).select("doc_id", "ordinal", "title", "merged_titles", "end_char")
+    rows = markdown.thinned(_sections(spark, d))
+    return rows.select("doc_id", "ordinal", "title", F.array_join("merged_titles", "|").alias("merged_titles"), "end_char", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query(_with(("page_parts", "points"), MARK, """SELECT p.doc_id, p.formula_id, coalesce(CAST(max({'l': h.level, 'o': h.ordinal}) FILTER (h.start_char <= p.start_char AND p.start_char <= h.end_char).o AS INT),
+  CAST(min({'d': abs(h.start_char - p.start_char), 'o': h.ordinal}).o AS INT)) AS ordinal FROM points p JOIN heads h USING (doc_id) GROUP BY 1, 2"""))
+def formula_section_join(spark, d):
+    sections = _sections(spark, d)
+    found = markdown.assign_formulas(adapter(spark, d, "points"), sections)
+    return found.join(sections.select("section_id", "ordinal"), "section_id").select("doc_id", "formula_id", "ordinal")
 
 
 def _with_formulas(spark, d):
@@ -331,10 +440,17 @@ def formula_detect(spark, d):
 
 
 @query()
-def formula_chunks(spark, d):
+def formula_contexts(spark, d):
     docs = _with_formulas(spark, d)
     formulas = markdown.detect_formulas(docs)
-    return markdown.formula_chunks(docs, formulas, markdown.assign_formulas(formulas, markdown.heading_sections(docs)))
+    return markdown.formula_contexts(docs, formulas, markdown.assign_formulas(formulas, markdown.sections_of(docs)))
+
+
+@query()
+def parser_chunks(spark, d):
+    """Chunks of whole documents around their formulas, in the shape of the graph's chunks."""
+    docs = _with_formulas(spark, d).withColumn("title", F.concat(F.lit("doc "), F.col("doc_id").cast("string")))
+    return markdown.graph_shaped(markdown.parse_markdown(docs)[2])
 
 
 # Entity resolution
@@ -369,23 +485,49 @@ def fusion_components(spark, d):
     return resolution.components(resolution.lexical_pairs(_norms(spark, d)))
 
 
+FUSED = f"""{NORM}, con AS (SELECT c.*, n.norm FROM concepts c JOIN normed n ON n.id = c.alias), words AS (SELECT DISTINCT norm, list_distinct(string_split(norm, ' ')) AS t FROM con WHERE norm <> ''),
+links AS (SELECT x.chunk_id, x.pos AS a, y.pos AS b FROM con x JOIN con y ON x.chunk_id = y.chunk_id AND x.pos <> y.pos JOIN words p ON p.norm = x.norm JOIN words q ON q.norm = y.norm WHERE CASE WHEN contains(x.norm, y.norm) OR contains(y.norm, x.norm) THEN true
+  ELSE len(list_intersect(p.t, q.t)) / CAST(len(list_distinct(list_concat(p.t, q.t))) AS DOUBLE) >= {D('0.86')} END),
+reach AS (SELECT chunk_id, pos AS node, pos AS other FROM con UNION SELECT r.chunk_id, r.node, l.b FROM reach r JOIN links l ON l.chunk_id = r.chunk_id AND l.a = r.other),
+roots AS (SELECT chunk_id, node AS pos, min(other) AS root FROM reach GROUP BY 1, 2),
+best AS (SELECT chunk_id, root, arg_min(name, {{'l': -length(description), 'p': pos}}) AS name FROM con JOIN roots USING (chunk_id, pos) GROUP BY 1, 2)"""
+
+
+@query(_with(("nodes", "concepts"), FUSED, """SELECT chunk_id, root AS pos, b.name, round(max(confidence), 6) AS confidence, CAST(count(*) AS INT) AS group_size,
+  CAST(CASE WHEN count(*) = 1 THEN 1 ELSE count(*) + count(DISTINCT lower(c.name)) FILTER (c.name <> b.name) END AS INT) AS n_aliases FROM con c JOIN roots USING (chunk_id, pos) JOIN best b USING (chunk_id, root) GROUP BY chunk_id, root, b.name""", True))
+def fusion_merge(spark, d):
+    none = F.array().cast("array<string>")
+    rows = adapter(spark, d, "concepts").withColumns({"aliases": F.array("alias"), "bloom_level": F.lit("understand"), "evidence": F.lit(""), **{n: none for n in ("prerequisites", "related", "formulas", "problem_types")}})
+    return resolution.fuse_concepts(rows).select("chunk_id", "pos", "name", *r6("confidence"), "group_size", F.size("aliases").alias("n_aliases"))
+
+
+@query(_with(("related", "nodes"), "", "SELECT DISTINCT target_id AS chunk_id FROM related WHERE target_id NOT IN (SELECT id FROM nodes WHERE kind = 'concept')"))
+def build_missing(spark, d):
+    """Extractions whose chunk is unknown: here, targets that are no concepts."""
+    known = _nodes(spark, d).where("kind = 'concept'").select(F.col("id").alias("chunk_id"))
+    return resolution.without_chunk(known, adapter(spark, d, "related").select(F.col("target_id").alias("chunk_id")))
+
+
 @query("SELECT x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 6) AS cosine FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id WHERE list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) >= CAST(0.4 AS DOUBLE)")
 def cosine_pairs(spark, d):
     v = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("vector"))
     return resolution.cosine_pairs(v, 0.4).select("a", "b", *r6("cosine"))
 
 
-@query(_with(("nodes",), NORM + ", ev AS (SELECT concat(kind, ':', norm) AS node_id, kind, k AS seq, n.label, concat(n.label, ' ', id) AS description FROM normed n JOIN (SELECT id, k FROM nodes) USING (id))",
-    "SELECT node_id, kind, arg_min(label, seq) AS label, arg_max(description, {'l': length(description), 's': -seq}) AS description, CAST(count(DISTINCT label) - 1 AS INT) AS n_aliases FROM ev GROUP BY node_id, kind"))
+@query(_with(("nodes",), NORM + ", ev AS (SELECT concat(kind, ':', norm) AS node_id, kind, k AS seq, n.label, concat(n.label, ' ', id) AS description, id, CASE WHEN k % 3 = 0 THEN '' ELSE concat('t', CAST(k AS VARCHAR)) END AS topic FROM normed n JOIN (SELECT id, k FROM nodes) USING (id))",
+    """SELECT node_id, kind, arg_min(label, seq) AS label, arg_max(description, {'l': length(description), 's': -seq}) AS description, CAST(count(DISTINCT label) - 1 + count(DISTINCT id) AS INT) AS n_aliases, CAST(count(DISTINCT id) AS INT) AS n_sources,
+    coalesce(arg_max(topic, seq) FILTER (topic <> ''), '') AS topic FROM ev GROUP BY node_id, kind"""))
 def node_merge(spark, d):
-    n = _nodes(spark, d)
-    events = n.select(F.concat("kind", F.lit(":"), L.normalize_label(F.col("label"))).alias("node_id"), "kind", F.col("k").alias("seq"), "label", F.concat_ws(" ", "label", "id").alias("description"), F.col("id").alias("source"))
-    return resolution.merge_nodes(events).select("node_id", "kind", "label", "description", F.size("aliases").alias("n_aliases"))
+    topic = F.when(F.col("k") % 3 == 0, "").otherwise(F.concat(F.lit("t"), F.col("k").cast("string")))
+    own = [F.col("k").alias("seq"), "label", F.concat_ws(" ", "label", "id").alias("description"), F.col("id").alias("source"), F.array("id").alias("aliases"), F.create_map(F.lit("topic"), topic).alias("properties")]
+    events = _nodes(spark, d).select(F.concat("kind", F.lit(":"), L.normalize_label(F.col("label"))).alias("node_id"), "kind", *own)
+    return resolution.merge_nodes(events).select("node_id", "kind", "label", "description", F.size("aliases").alias("n_aliases"), F.size("sources").alias("n_sources"), F.col("properties")["topic"].alias("topic"))
 
 
-@query(_with(("related",), "", "SELECT source_id, target_id, relation, round(max(weight), 6) AS weight, arg_min(evidence, seq) FILTER (evidence <> '') AS evidence, count(*) AS n_events FROM related GROUP BY 1, 2, 3"))
+@query(_with(("related",), "", "SELECT source_id, target_id, relation, round(max(weight), 6) AS weight, arg_min(evidence, seq) FILTER (evidence <> '') AS evidence, count(*) AS n_events, CAST(count(DISTINCT CAST(floor(seq / 100) AS BIGINT)) AS INT) AS n_sources FROM related GROUP BY 1, 2, 3"))
 def edge_merge(spark, d):
-    return resolution.merge_edges(adapter(spark, d, "related")).withColumn("weight", F.round("weight", 6))
+    events = adapter(spark, d, "related").withColumn("source", F.floor(F.col("seq") / 100))
+    return resolution.merge_edges(events).withColumn("weight", F.round("weight", 6)).withColumn("n_sources", F.size("sources")).drop("sources")
 
 
 @query(_with(GRAPH, "", "SELECT 'node' AS what, kind AS name, count(*) AS n FROM nodes GROUP BY kind UNION ALL SELECT 'edge', relation, count(*) FROM edges GROUP BY relation"))
@@ -393,16 +535,27 @@ def graph_summary(spark, d):
     return resolution.summarize(_nodes(spark, d), _edges(spark, d))
 
 
-@query()
-def build_graph(spark, d):
-    """Extracted rules of the chunks, resolved into a graph: its nodes with their numbers of sources."""
+def _extractions(spark, d):
     chunks = _raw_chunks(spark, d)
     none = F.array().cast("array<string>")
     found = chunking.extract_by_rules(chunks, TEXT_RULES)
     concept = F.struct("name", "description", none.alias("prerequisites"), none.alias("related"), "formulas", none.alias("problem_types"), "bloom_level", "confidence", "evidence", none.alias("aliases"))
-    each = found.groupBy("chunk_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", concept.alias("c")))), lambda x: x["c"]).alias("concepts"))
-    nodes, _ = resolution.build_graph(chunks, each)
-    return nodes.select("node_id", "kind", "label", F.size("sources").alias("n_sources"))
+    return chunks, found.groupBy("chunk_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", concept.alias("c")))), lambda x: x["c"]).alias("concepts"))
+
+
+@query()
+def build_graph(spark, d):
+    """Extracted rules of the chunks, resolved into a graph: its nodes with their numbers of sources."""
+    nodes, _ = resolution.build_graph(*_extractions(spark, d))
+    return nodes.select("node_id", "kind", "label", F.size("sources").alias("n_sources"), F.size("aliases").alias("n_aliases"))
+
+
+@query(_with(("raw_docs",), HARD + ", hits AS (SELECT c.chunk_id, r.pos FROM chunks c JOIN (VALUES " + ", ".join(f"({i}, '{p}')" for i, (p, _, _) in enumerate(TEXT_RULES)) + ") r(pos, pattern) ON regexp_matches(lower(c.text), r.pattern))",
+    "SELECT count(DISTINCT chunk_id) AS chunks_seen, count(*) AS concepts_seen FROM hits", True))
+def build_counters(spark, d):
+    """What a build has seen; what it made of it depends on the order of labels and is tested by itself."""
+    _, _, report = resolution.build_with_report(*_extractions(spark, d))
+    return report.select("chunks_seen", "concepts_seen")
 
 
 # Search
@@ -432,15 +585,50 @@ def resolve_node(spark, d):
     return search.resolve(_nodes(spark, d), "Red  Widget ECONOMY").where("tier = 2")
 
 
+@query(_with(GRAPH, NEAR, f"SELECT id AS node_id, label, true AS found, (SELECT count(*) FROM near WHERE id = '{TARGET}') AS n_relatives FROM nodes WHERE id = '{TARGET}'"))
+def node_lookup(spark, d):
+    found = search.get_node(_nodes(spark, d), _edges(spark, d), TARGET, relatives=True)
+    return found.select(F.col("node.id").alias("node_id"), "node.label", "found", F.size("relatives").cast("long").alias("n_relatives"))
+
+
 @query(_with(GRAPH, NEAR, f"""SELECT neighbour AS id, label, direction, relation, CASE WHEN relation = 'REQUIRES' AND direction = 'parent' THEN 'prerequisite' WHEN relation = 'HAS_FORMULA' OR kind = 'formula' THEN 'formula'
   WHEN relation = 'USED_IN_PROBLEM_TYPE' OR kind = 'problem_type' THEN 'problem_type' WHEN relation = 'RELATED_TO' THEN 'related' END AS role FROM near WHERE id = '{TARGET}'"""))
 def context_roles(spark, d):
     return search.roles(graph.relatives(_nodes(spark, d), _edges(spark, d), TARGET)).select("id", "label", "direction", "relation", "role")
 
 
-@query(_with(("related",), "", "SELECT source_id AS id, evidence AS quote, min(seq) AS first_seq FROM related WHERE evidence <> '' GROUP BY 1, 2"))
+QUOTED = f"told AS (SELECT source_id, evidence AS quote, CAST(floor(seq / 100) AS BIGINT) AS doc, min(seq) AS seq FROM related WHERE evidence <> '' AND source_id IN ('{TARGET}', 'n3', 'n7') GROUP BY 1, 2, 3)"
+
+
+@query(_with(("related",), QUOTED + ", each AS (SELECT quote, doc, min({'r': CASE source_id WHEN 'n3' THEN 0 WHEN 'n7' THEN 1 ELSE 2 END, 's': seq}) AS o FROM told GROUP BY 1, 2)",
+    "SELECT row_number() OVER (ORDER BY o) AS place, quote FROM each QUALIFY place <= 8"))
 def source_quotes(spark, d):
-    return adapter(spark, d, "related").where("evidence <> ''").groupBy(F.col("source_id").alias("id"), F.col("evidence").alias("quote")).agg(F.min("seq").alias("first_seq"))
+    """The first distinct quotes of three nodes, in the order of the nodes."""
+    rank = F.when(F.col("source_id") == "n3", 0).when(F.col("source_id") == "n7", 1).otherwise(2)
+    rows = adapter(spark, d, "related").where(F.col("source_id").isin(TARGET, "n3", "n7"))
+    refs = rows.select(F.col("source_id").alias("node_id"), rank.alias("rank"), F.col("seq").alias("pos"), F.floor(F.col("seq") / 100).cast("string").alias("doc_id"), F.lit("").alias("chunk_id"), F.col("evidence").alias("quote"))
+    return search.source_quotes(refs).select("place", "quote")
+
+
+@query()
+def context_retrieve(spark, d):
+    """The nodes around the best matches, by role."""
+    return search.context_retrieve(_nodes(spark, d), _edges(spark, d), WANTED, 6)[1]
+
+
+@query()
+def pack_context(spark, d):
+    """A whole teaching context as one JSON text."""
+    exercises = files.without_solution(_exercises(spark, d)).withColumns({"problem_type": F.lit(None).cast("string"), "source_path": F.lit(None).cast("string"), "trap_flags": F.array().cast("array<string>")})
+    packet = context.pack(_nodes(spark, d), _edges(spark, d), _states(spark, d), LEARNER, exercises=exercises, exercise_id="e7", mode="review")
+    return spark.createDataFrame([(json.dumps(packet, default=str),)], "packet string")
+
+
+@query()
+def memory_merge(spark, d):
+    """Each conversation's user turns as notes in its memory."""
+    notes = adapter(spark, d, "attempts").select(F.col("conv_id").cast("string").alias("learner_id"), "seq", F.to_json(F.struct(F.array("text").alias("recent_notes"), F.struct(F.col("turn").alias("last_turn")).alias("metadata"))).alias("body"))
+    return files.merge_memories(notes.select("learner_id", F.lit(None).cast("string").alias("body")).distinct(), notes)
 
 
 def _exercises(spark, d):
@@ -463,12 +651,19 @@ def exercise_search(spark, d):
     return search.search_exercises(_exercises(spark, d), view, targets=["n3", "n7"])
 
 
+@query(_with((*ALL, "exercises"), VIEW, "SELECT exercise_id, CAST(place AS INT) AS place, s.id, s.label, round(s.mastery, 6) AS mastery, s.threshold FROM (SELECT exercise_id, 0 AS place, need1 AS need FROM exercises UNION ALL SELECT exercise_id, 1, need2 FROM exercises) e JOIN seen s ON s.id = e.need", True))
+def exercise_required(spark, d):
+    packets = search.node_packets(_nodes(spark, d), _states(spark, d), LEARNER, fields=["learner_state"])
+    rows = search.required_packets(_exercises(spark, d), packets)
+    return rows.select("exercise_id", "place", "id", "label", F.round("learner_state.mastery", 6).alias("mastery"), "learner_state.threshold")
+
+
+@query(_with(("exercises",), "", "SELECT exercise_id, true AS found, statement, [need1, need2] = ['x'] AS solved FROM exercises WHERE exercise_id = 'e7'"))
+def exercise_get(spark, d):
+    one = search.get_exercise(_exercises(spark, d), "e7", _nodes(spark, d), _states(spark, d), LEARNER)
+    return one.select("exercise_id", "found", "exercise.statement", (F.size("required_nodes") == 0).alias("solved"))
+
+
 @query(_with(("attempts",), "", "SELECT conv_id, turn, length(text) AS n_chars FROM attempts QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY seq DESC) <= 2"))
 def attempts_last_n(spark, d):
     return learner.top(adapter(spark, d, "attempts"), ["conv_id"], [F.col("seq").desc()], 2).select("conv_id", "turn", F.length("text").alias("n_chars"))
-
-
-@query(_with(OBS, "", f"SELECT mistake, min(event_id) AS first_id FROM observations WHERE mistake IS NOT NULL GROUP BY mistake"))
-def recent_mistakes(spark, d):
-    rows = adapter(spark, d, "observations").where("mistake IS NOT NULL")
-    return rows.groupBy("mistake").agg(F.min("event_id").alias("first_id"))
