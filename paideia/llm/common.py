@@ -141,7 +141,7 @@ def join_spread(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     the input, so that the list of them may be broadcast. ``groups`` is a written table, as it is read three times.
     """
     total = groups.agg(F.coalesce(F.sum(size), F.lit(0)).cast("double")).first()[0] or 1.0
-    parts = F.ceil(F.col(size) * (SHARE / total)).cast("int")
+    parts = F.least(F.ceil(F.col(size) * (SHARE / total)), F.col(size)).cast("int")  # a row of ``groups`` is copied no oftener than rows meet it
     hot = groups.where(F.col(size) * float(SHARE) > total).select(*keys, parts.alias("_parts"))
     salt = F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64(by, F.spark_partition_id()), F.col("_parts"))).otherwise(0).cast("int")
     own = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_parts")

@@ -181,6 +181,7 @@ def test_near_duplicates(spark, odd, none):
     assert {i: r.class_id for i, r in rows.items()} == {i: find(i) for i in range(len(texts))}
     assert all(r.kept == (i == r.class_id) for i, r in rows.items())
     got = dart_minhash.near_duplicates(odd).collect()
+    assert {(r.class_id, r.class_size) for r in got if r.doc_id == 1} == {(1, 3)}
     assert len(got) == len(ODD) and {r.class_id for r in got if r.doc_id in (1, 2)} == {1} and {r.class_id for r in got if r.doc_id in (3, 4)} == {3}
     assert dart_minhash.near_duplicates(none).count() == 0
 
