@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,7 +62,7 @@ def _stretch(raw: bytes, start: int, length: int, gram: int) -> tuple[np.ndarray
         power = power * power
         step *= 2
     h = _mixed(h)
-    places = np.uint64((1 << 24) - 1)
+    places = np.uint64((1 << 24) - 1)  # a stretch and its last string are shorter
     least = (h & ~places) | np.arange(len(h), dtype=np.uint64)
     window, step = length - gram + 1, 1
     n = len(h) - window + 1
@@ -95,8 +96,8 @@ def suffix_order(text: bytes, wanted: np.ndarray, length: int) -> np.ndarray:
     """Those positions that ``wanted`` marks (and some that they rest on), in the order of their suffixes' first ``length`` bytes."""
     t = np.frombuffer(text, np.uint8)
     n = len(t)
-    change = np.flatnonzero(t[1:] != t[:-1]) + 1
-    run_end = np.append(change, n)[np.searchsorted(change, np.arange(n), "right")]  # first place with another byte
+    ends = np.append(np.flatnonzero(t[1:] != t[:-1]) + 1, n)
+    run_end = np.repeat(ends, np.diff(ends, prepend=0))  # first place with another byte
     beyond = np.append(t, 0).astype(np.int16)[run_end]
     beyond[run_end == n] = -1
     smaller = beyond > t  # the suffix is smaller than its successor
@@ -104,7 +105,7 @@ def suffix_order(text: bytes, wanted: np.ndarray, length: int) -> np.ndarray:
     need = wanted.copy()
     fresh = np.flatnonzero(need & ~smaller)
     while len(fresh):
-        fresh = np.unique(run_end[fresh])
+        fresh = run_end[fresh]
         fresh = fresh[fresh < n]
         fresh = fresh[~need[fresh]]
         need[fresh] = True
@@ -133,13 +134,18 @@ def suffix_order(text: bytes, wanted: np.ndarray, length: int) -> np.ndarray:
 
 def repeated_starts(contexts: list[bytes], length: int) -> list[np.ndarray]:
     """For each context, which of its strings of ``length`` bytes start at another place of the contexts, too."""
+    repeated, starts, ends = _repeated(contexts, length)
+    return [repeated[s : e - length + 1] for s, e in zip(starts, ends)]
+
+
+def _repeated(contexts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which places of the contexts, one behind the other, start a repeated string; and where each context starts and ends."""
     text = b"".join(contexts)
-    ends = np.cumsum([len(c) for c in contexts])
-    starts = ends - [len(c) for c in contexts]
-    delta = np.zeros(len(text) + 1, np.int64)
-    np.add.at(delta, starts, 1)
-    np.add.at(delta, ends - length + 1, -1)
-    wanted = np.cumsum(delta[:-1]) > 0
+    sizes = np.array([len(c) for c in contexts])
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    # The last length - 1 places of a context start no string of it.
+    wanted = np.repeat(ends - length, sizes) >= np.arange(len(text))
     order = suffix_order(text, wanted, length)
     order = order[wanted[order]]
     # Common prefixes of neighbours, eight bytes at a time, up to ``length``.
@@ -154,13 +160,7 @@ def repeated_starts(contexts: list[bytes], length: int) -> list[np.ndarray]:
     repeated = np.zeros(len(text), bool)
     repeated[a[alive]] = True
     repeated[b[alive]] = True
-    return [repeated[s : e - length + 1] for s, e in zip(starts, ends)]
-
-
-def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last places of the runs of true values."""
-    d = np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))
-    return np.flatnonzero(d == 1), np.flatnonzero(d == -1) - 1
+    return repeated, starts, ends
 
 
 def _scan(rows: DataFrame, emit, schema: str) -> DataFrame:
@@ -173,7 +173,7 @@ def _scan(rows: DataFrame, emit, schema: str) -> DataFrame:
         state = {}
         for batch in batches:
             for key, value in zip(batch.column(0), batch.column(1)):
-                got = emit(key.as_py(), value.as_py().encode(), state)
+                got = emit(key.as_py(), value.as_buffer().to_pybytes(), state)
                 if got is not None:
                     held.append(got)
                     size += sum(c.nbytes for c in got)
@@ -188,28 +188,34 @@ def _scan(rows: DataFrame, emit, schema: str) -> DataFrame:
 
 def _sort_shard(length: int):
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("key")
-        keys = table.column("key").to_numpy()
+        table = table.sort_by("key").combine_chunks()
+        keys, off = table.column("key").to_numpy(), table.column("off").to_numpy()
         contexts = table.column("ctx").to_pylist()
+        # What occurs more than twice is as repeated as what occurs twice.
         copies = np.minimum(table.column("n").to_numpy(), 2)
-        off, sid = table.column("off").to_numpy(), table.column("sid").to_pylist()
         edges = np.append(np.flatnonzero(np.diff(keys)) + 1, len(keys))
-        out, start, size, at = ([], [], []), 0, 0, 0
-        for edge in edges:
-            size += sum(len(contexts[i]) * copies[i] for i in range(at, edge))
-            at = edge
-            if size < SORT_BYTES and edge < len(keys):
-                continue
-            # What occurs more than twice is as repeated as what occurs twice.
-            places = [i for i in range(start, edge) for _ in range(copies[i])]
-            for k, (i, mask) in enumerate(zip(places, repeated_starts([contexts[i] for i in places], length))):
-                if (not k or places[k - 1] != i) and mask.any():
-                    first, last = _runs(mask)
-                    out[0].extend([sid[i]] * len(first))
-                    out[1].extend((off[i] - last).tolist())
-                    out[2].extend((off[i] - first).tolist())
-            start, size = edge, 0
-        return pa.table({"sid": pa.array(out[0], pa.binary()), "l_lo": pa.array(out[1], pa.int32()), "l_hi": pa.array(out[2], pa.int32())})
+        upto = np.cumsum(copies * np.array([len(c) for c in contexts]))[edges - 1]
+        owner, first, last, start = [], [], [], 0
+        for at in np.append(np.flatnonzero(np.diff(upto // SORT_BYTES)), len(edges) - 1):  # whole keys, about SORT_BYTES together
+            end = edges[at]
+            places = np.repeat(np.arange(start, end), copies[start:end])
+            mask, begin, stop = _repeated([contexts[i] for i in places], length)
+            # Runs of starts end with their context; only a context's first copy says what is repeated in it.
+            new = mask.copy()
+            new[1:] &= ~mask[:-1]
+            new[begin] = mask[begin]
+            close = mask.copy()
+            close[:-1] &= ~mask[1:]
+            a, b = np.flatnonzero(new), np.flatnonzero(close)
+            of = np.searchsorted(stop, a, "right")
+            fresh = np.concatenate([[True], places[1:] != places[:-1]])[of]
+            owner.append(places[of][fresh])
+            first.append((a - begin[of])[fresh])
+            last.append((b - begin[of])[fresh])
+            start = end
+        k = np.concatenate(owner)
+        place = off[k]
+        return pa.table({"sid": table.column("sid").take(pa.array(k)), "l_lo": pa.array((place - np.concatenate(last)).astype(np.int32)), "l_hi": pa.array((place - np.concatenate(first)).astype(np.int32))})
 
     return run
 
@@ -220,15 +226,16 @@ def _resolve(contexts: DataFrame, length: int, gram: int, width: int) -> DataFra
     ``contexts`` has sid, key, off (the anchor's place), ctx and n (how often it occurs); it is a written table.
     """
     sizes = contexts.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("most")).where("m > 1 OR most > 1").drop("most")
-    some = join_spread(contexts, written(sizes, "sizes"), ["key"], "m", "sid")
+    sizes = written(sizes, "sizes")
     total = contexts.agg(F.coalesce(F.sum(F.octet_length("ctx")), F.lit(0))).first()[0]
     shards = max(8, int(total >> 21))
-    sorted_ = some.where(F.col("m") <= MOST).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
+    sorted_ = contexts.join(sizes.where(F.col("m") <= MOST), "key").withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
     found = sorted_.select("shard", "key", "sid", "off", "ctx", "n").groupBy("shard").applyInArrow(_sort_shard(length), "sid binary, l_lo int, l_hi int")
     found = written(found, "repeats")
-    large = some.where(F.col("m") > MOST)
-    if width <= 1 or large.isEmpty():
+    above = sizes.where(F.col("m") > MOST).select("key")
+    if width <= 1 or above.isEmpty():
         return found
+    large = contexts.join(above, "key", "left_semi")
     half = (width + 1) // 2
     # l counts from a string's start to its anchor; the string covers ctx from off - l on.
     parts = large.withColumn("hi", F.col("off")).withColumn("lo", F.expr(f"off - (octet_length(ctx) - {length})")).withColumn("cell", F.explode(F.expr(f"sequence(lo div {half}, hi div {half})")))
@@ -279,7 +286,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
         if not ctx:
             return None
         sids = [_sid(*c) for c in ctx]
-        also = _maybe(chosen.value, np.array([int.from_bytes(s[:7], "big") for s in sids], np.uint64))
+        also = _maybe(chosen.value, np.frombuffer(b"".join(sids), ">u8")[::2].astype(np.uint64) >> np.uint64(8))
         seen = state.setdefault("seen", set())
         out = [(h, s, off, c) for h, s, (c, off), k in zip(h[keep].view(np.int64).tolist(), sids, ctx, also) if k and s not in seen]
         if len(seen) > 500_000:
@@ -301,8 +308,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
 
 
 def _sid(ctx: bytes, off: int) -> bytes:
-    """Names a context: its bytes and its anchor's place."""
-    return hashlib.blake2b(ctx, digest_size=16, salt=off.to_bytes(2, "big")).digest()
+    """Names a context: 128 bits of a hash of its bytes and its anchor's place."""
+    return xxhash.xxh3_128_digest(ctx, off)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -331,7 +338,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
         for batch in batches:
             out = []
             for value, spans in zip(batch.column(1), batch.column(2).to_pylist()):
-                raw = value.as_py().encode()
+                raw = value.as_buffer().to_pybytes()
                 gone = merged([(s["start"], s["end"]) for s in spans or []])
                 edges = [0, *(x for s in gone for x in s), len(raw)]
                 kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
