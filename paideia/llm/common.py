@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: A key with more than this part of all rows is dealt to several tasks.
 SHARE = 4000
+#: Files of a table that operators write for themselves, for each core of the cluster.
+FILES_A_CORE = 8
 #: Bytes of a batch that goes to Python.
 BATCH_BYTES = 8 << 20
 _scopes: list[list[str]] = []
@@ -62,11 +64,17 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """``df`` as a table in the shared folder: lineage ends there and a lost executor costs nothing."""
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: lineage ends there and a lost executor costs nothing.
+
+    It has at most FILES_A_CORE files for each core, so that a small table of many partitions isn't thousands of tiny files:
+    a task takes several partitions, one behind the other, each with the memory that it had alone. Not where cores come and go.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.partitionBy(*partition_by).parquet(path)
+    if spark.conf.get("spark.dynamicAllocation.enabled", "false") != "true":
+        df = df.coalesce(FILES_A_CORE * max(6, spark.sparkContext.defaultParallelism))
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
