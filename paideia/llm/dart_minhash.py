@@ -397,9 +397,11 @@ def _classes(docs: DataFrame, threshold: float, words: int, bands: int, rows: in
     text = text_of()
     keyed = docs.select(F.col("doc_id").cast("long"), _digest().alias("digest"), text.alias("text"))
     sketches = written(keyed.transform(in_arrow, _sketch(words, bands, rows), "doc_id long, digest binary, bands array<long>"), "sketches")
-    # A node is a distinct text; its number is fixed as the table is written.
+    # A node is a distinct text; its number is fixed as the table is written. Lower ids get lower numbers: what a bucket's
+    # members are compared with first is its oldest text, from which copies are made.
     texts = sketches.groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
-    reps = written(texts.withColumn("rep", F.monotonically_increasing_id()), "reps")
+    ordered = texts.orderBy(F.col("least_id").asc_nulls_last(), "digest")
+    reps = written(ordered.withColumn("rep", F.monotonically_increasing_id()), "reps")
     filled = reps.where("size(bands) > 0").select("rep", "bands")
     members = _buckets(filled.select(F.explode("bands").alias("key"), "rep"))  # a band's hash holds its number
     tried = written(_pairs(members), "pairs")
