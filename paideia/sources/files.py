@@ -177,12 +177,12 @@ def record_attempts(attempts: DataFrame, path: str) -> DataFrame:
     now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")
     given = F.coalesce(F.col("timestamp"), now) if "timestamp" in attempts.columns else now
     own = lambda key: F.get_json_object("body", f"$.{key}")
-    head = F.to_json(F.struct(F.coalesce(own("schema"), F.lit("paideia.attempt.v1")).alias("schema"), F.coalesce(own("timestamp"), given).alias("timestamp")))
-    # Two JSON objects become one by their inner text; of a key that both have, the body's value is the later one.
-    inner = F.trim(F.regexp_replace("body", r"^\s*\{|\}\s*$", ""))
-    whole = F.when(inner == "", head).otherwise(F.concat(F.expr("substring(head, 1, length(head) - 1)"), F.lit(","), inner, F.lit("}")))
-    rows = attempts.withColumn("head", head).withColumn("whole", whole)
-    rows = rows.select(F.coalesce(own("attempt_id"), attempt_id("whole")).alias("attempt_id"), F.get_json_object("head", "$.timestamp").alias("timestamp"), F.col("whole").alias("body"), F.current_timestamp().alias("logged_at"), F.monotonically_increasing_id().alias("place"))
+    # A body that lacks them gets schema and time in front; no key stands twice.
+    inner = F.nullif(F.trim(F.regexp_replace("body", r"^\s*\{|\}\s*$", "")), F.lit(""))
+    schema = F.when(own("schema").isNull(), F.lit('"schema":"paideia.attempt.v1"'))
+    time = F.when(own("timestamp").isNull(), F.concat(F.lit('"timestamp":"'), given, F.lit('"')))
+    rows = attempts.withColumn("whole", F.concat(F.lit("{"), F.concat_ws(",", schema, time, inner), F.lit("}")))
+    rows = rows.select(F.coalesce(own("attempt_id"), attempt_id("whole")).alias("attempt_id"), F.get_json_object("whole", "$.timestamp").alias("timestamp"), F.col("whole").alias("body"), F.current_timestamp().alias("logged_at"), F.monotonically_increasing_id().alias("place"))
     stored = _saved(rows)  # one time and one place for what is written and what is returned
     stored.write.mode("append").json(path)
     return stored

@@ -128,7 +128,14 @@ def test_graph(spark):
     assert found["b"].bucket == "zpd" and found["c"].unmet == "force" and found["x"].bucket == "blocked" and "a" not in found
     assert graph.relatives(nodes, edges, "c", 1, "parents").count() == 2 and graph.relatives(nodes, edges, "c", relations=[]).count() == 0
     packet = context.pack(nodes, edges, states, 0, "second law", tokens=250)
-    assert packet["matches"][0]["id"] == "c" and packet["mode"] == "guided"
+    assert packet["retrieval"]["matched_nodes"][0]["node_id"] == "c" and packet["trimmed_to_budget"] and packet["allowed_actions"] == context.ACTIONS["guided_exercise"]
+    assert [r["node_id"] for r in context.retrieve(nodes, edges, "second law", limit=1)["prerequisites"]] == ["b", "a"] or len(context.retrieve(nodes, edges, "second law", limit=1)["prerequisites"]) == 2
+    zpd = context.proximal_dev(nodes, edges, states, 0)
+    assert [c["node_id"] for c in zpd["ready"]] == ["b"] and zpd["mastered_count"] == 1 and zpd["total_trackable"] == 6 and zpd["blocked"][0]["blocking_prerequisites"]
+    path = context.learning_path(nodes, edges, states, 0, "inclined plane")
+    assert path["chosen_reason"] == "explicit_goal" and [x["id"] for x in path["path"]["steps"]] == ["b", "c", "d"] and path["path"]["total_minutes"] == 45 and [x["ordinal"] for x in path["path"]["sessions"]] == [0, 1, 2]
+    assert context.learning_path(nodes, edges, states, 0)["path"]["target"]["node_id"] == "b"
+    assert context.learning_path(nodes.limit(0), edges, states, 0)["reason"] == "no_goal_and_no_zpd_candidate" and context.learning_path(nodes, edges, states, 0, "?!")["reason"] == "target_not_found"
 
 
 def test_first_principles_of_a_deep_graph(spark):
@@ -159,6 +166,17 @@ def test_search(spark):
     assert search.search(nodes, "second law").first().id == "c" and search.search(nodes, " ").count() == 0
     assert search.search(nodes, "secnd lw").first().id == "c"
     assert search.resolve(nodes, "d").first().tier == 1 and search.resolve(nodes, "Second  LAW").first().tier == 2
+    named = nodes.withColumn("aliases", F.when(F.col("id") == "a", F.array(F.lit("Arrows"))))
+    assert tuple(search.resolve(named, "arrows").first()) == ("a", 2) and search.resolve(named, "zzzz", fuzzy=False).count() == 0
+    edges = small_graph(spark)[1]
+    one = search.get_node(named, edges, "arrows", relatives=True, fields=["aliases", "no such"]).first()
+    assert one.found and set(one.node.asDict()) == {"id", "label", "kind", "aliases"} and {r.node_id for r in one.relatives} == {"b", "c"} and one.matches is None
+    none = search.get_node(named, edges, "?!").first()
+    assert not none.found and none.node is None and none.matches == [] and none.relatives is None
+    exercises = spark.createDataFrame([("e1", "push a block", ["c", "gone", "a"], 0.3, 1, "it moves")], "exercise_id string, statement string, required array<string>, difficulty double, steps int, solution string")
+    got = search.get_exercise(exercises, "e1", nodes).first()
+    assert got.found and "solution" not in got.exercise.asDict() and [n.id for n in got.required_nodes] == ["c", "a"]
+    assert search.get_exercise(exercises, "e1", nodes, solution=True).first().exercise.solution == "it moves" and not search.get_exercise(exercises, "x", nodes).first().found
 
 
 def test_files(spark, tmp_path):
@@ -169,8 +187,21 @@ def test_files(spark, tmp_path):
     (tmp_path / "g.json").write_text('{"nodes": [{"id": "a", "label": "A", "kind": "concept"}], "edges": [{"source_id": "a", "target_id": "a", "relation_type": "REQUIRES"}]}')
     nodes, edges = files.read_graph(spark, str(tmp_path / "g.json"))
     assert nodes.count() == edges.count() == 1
-    log = files.record_attempts(spark.createDataFrame([('{"b": 1, "a": "x"}', "2024-01-01")], "body string, timestamp string"), str(tmp_path / "log"))
-    assert log.first().attempt_id.startswith("attempt:") and files.read_attempts(spark, str(tmp_path / "log"), 5).count() == 1
+    for i, body in enumerate(('{"b": 1, "a": "x", "mistake": "sign"}', '{"mistakes": ["units ", "sign", ""], "timestamp": "2020-01-01"}', '{"attempt_id": "own", "self_reported_difficulty": "algebra"}')):
+        log = files.record_attempts(spark.createDataFrame([(body,)], "body string"), str(tmp_path / "log"))
+        assert i == 2 or log.first().attempt_id.startswith("attempt:")
+    assert [r.attempt_id == "own" for r in files.read_attempts(spark, str(tmp_path / "log"), 2).collect()] == [False, True]
+    assert [r.mistake for r in files.recent_mistakes(files.read_attempts(spark, str(tmp_path / "log"))).orderBy("place").collect()] == ["sign", "units", "algebra"]
+    assert files.read_attempts(spark, str(tmp_path / "none")).count() == files.read_exercises(spark, str(tmp_path / "none")).count() == files.read_profile(spark, str(tmp_path / "none")).count() == 0
+    (tmp_path / "e.jsonl").write_text('{"id": "x", "steps": 0, "concepts": ["a"], "solution": "s"}')
+    e = files.read_exercises(spark, str(tmp_path / "e.jsonl")).first()
+    assert (e.exercise_id, e.steps, e.difficulty, e.required, e.solution_available, e.ladder) == ("x", 1, 0.3, ["a"], True, "direct_formula")
+    files.write_exercises(files.read_exercises(spark, str(tmp_path / "e.jsonl")), str(tmp_path / "e2"))
+    assert files.read_exercises(spark, str(tmp_path / "e2")).first() == e
+    assert files.json_argument('{"a": 1}') == {"a": 1} and files.json_argument() == {}
+    with pytest.raises(ValueError):
+        files.pdf_backend("no such")
+    assert files.pdf_backend("plain")(b"x") == "x"
     memory = files.merge_memory(files.fresh_memory(), {"metadata": None, "recent_notes": list(range(26)), "learning_style": {"avoid": ["x"]}, "new": 1})
     assert "metadata" not in memory and len(memory["recent_notes"]) == 25 and memory["learning_style"] == {"prefers": [], "avoid": ["x"]} and memory["new"] == 1
     (tmp_path / "d.md").write_text("# T\n\nx")
@@ -182,7 +213,7 @@ def test_files(spark, tmp_path):
 def test_stream(spark, tmp_path):
     from paideia.streaming.mastery import mastery_stream
 
-    obs = adapter(spark, SF, "observations").select("learner_id", "node_id", "correct", F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    obs = adapter(spark, SF, "observations").select("learner_id", "node_id", "correct", F.col("ts").cast("timestamp").alias("ts"), "event_id", "quality")
     obs.write.parquet(str(tmp_path / "in"))
     stream = mastery_stream(spark.readStream.schema(obs.schema).parquet(str(tmp_path / "in")))
     q = stream.writeStream.outputMode("update").format("memory").queryName("mastery").trigger(availableNow=True).start()
@@ -236,3 +267,65 @@ def test_fusion(spark):
     assert {(r.chunk_id, r.pos): r.group_size for r in resolution.fuse_concepts(concepts, links=links).collect()}[("c1", 0)] == 2
     assert tuple(resolution.fusion_report(resolution.fuse_concepts(concepts.limit(0))).first()) == (0, 0, 0, 0)
     assert [r.chunk_id for r in resolution.without_chunk(spark.createDataFrame([("c1",)], "chunk_id string"), concepts).collect()] == ["c2"]
+
+
+def test_parser_chunks(spark):
+    para = "some words of a paragraph. " * 20
+    text = f"lost $a = b + c$\n# A\n{para}\n\nmiddle $E = m c^2$ end.\n\n{para}\n# B\n{para}\n\n{para * 5}\n\nend"
+    docs = spark.createDataFrame([(1, "T", text), (2, "U", "only text\n\n\n\nmore text"), (3, "V", " "), (4, "W", None)], "doc_id long, title string, text string")
+    sections, formulas, chunks = markdown.parse_markdown(docs)
+    rows = chunks.orderBy("doc_id", "ordinal").collect()
+    own = [r for r in rows if r.doc_id == 1]
+    assert [r.kind for r in own[:3]] == ["formula_context", "formula_context", "section"] and own[0].text.startswith("lost") and "E = m c^2" in own[1].text
+    assert [r.text for r in own[-2:]] == [para.strip(), (para * 5).strip()] and [r.kind for r in own[-2:]] == ["paragraph", "section"]  # the short end goes
+    assert all(a.next_chunk_id == b.chunk_id and b.previous_chunk_id == a.chunk_id for a, b in zip(own, own[1:])) and own[0].previous_chunk_id is None
+    assert [(r.text, r.start_char, r.end_char) for r in rows if r.doc_id == 2] == [("only text\n\nmore text", 0, 20)]
+    shaped = markdown.graph_shaped(chunks).where("doc_id = 1").orderBy("ordinal").first()
+    assert shaped.metadata.parser_kind == "formula_context" and shaped.title == "T — A" and len(shaped.metadata.formula_ids) == 1
+    counts = {r.doc_id: tuple(r.metadata) for r in markdown.parsed_documents(docs, sections, formulas, chunks).collect()}
+    assert counts == {1: (2, 2, len(own)), 2: (1, 0, 1), 3: (0, 0, 0), 4: (0, 0, 0)}
+    piece = spark.createDataFrame([("abcdefghij",)], "t string").select(markdown.without_spans(F.col("t"), F.expr("array(struct(11 AS a, 13 AS b), struct(12 AS a, 15 AS b))"), F.lit(10)).alias("t"))
+    assert piece.first().t == "a\n\nfghij"
+
+
+def test_build_with_provenance(spark):
+    chunks = spark.createDataFrame([("c1", "d", "Book", "text one", 0), ("c2", "d", "", "text two", 1)], "chunk_id string, doc_id string, title string, text string, ordinal int")
+    concept = {"name": "Newton's law", "description": "long text", "prerequisites": ["Force"], "related": [], "formulas": ["F = m a"], "problem_types": [], "bloom_level": "apply", "confidence": 0.5, "evidence": "quote one", "aliases": ["Seconda legge"]}
+    again = concept | {"name": "Seconda legge", "description": "", "prerequisites": ["force"], "confidence": 0.9, "evidence": "quote two", "bloom_level": "", "aliases": []}
+    found = spark.createDataFrame([("c1", [concept]), ("c2", [again]), ("gone", [concept])], f"chunk_id string, concepts array<{files.CONCEPT}>")
+    nodes, edges, report = resolution.build_with_report(chunks, found)
+    by = {(r.kind, r.label): r for r in nodes.collect()}
+    law = by["concept", "Newton's law"]
+    assert law.aliases == ["Seconda legge"] and law.properties == {"bloom_level": "apply", "confidence": "0.9"} and [x.quote for x in law.sources] == ["quote one", "quote two"] and law.description == "long text"
+    needs = {r.relation: r for r in edges.where(F.col("source_id") == law.node_id).collect()}
+    assert needs["REQUIRES"].weight == 0.9 and needs["REQUIRES"].evidence == "quote one" and len(needs["REQUIRES"].sources) == 2 and needs["REQUIRES"].target_id == by["concept", "Force"].node_id
+    assert tuple(report.first()) == (2, 2, len(by), edges.count(), 1)
+
+
+def test_embedding_links(spark):
+    rows = spark.createDataFrame([("c", 0, "one", ""), ("c", 1, "two", ""), ("c", 2, "one more", ""), ("d", 0, "two", "")], "chunk_id string, pos int, name string, description string")
+    vectors = {"one": [1.0, 0.0], "two": [0.99, 0.1]}
+    links = resolution.embedding_links(rows, lambda texts: [vectors.get(t.split(":")[0]) for t in texts])
+    assert {(r.chunk_id, min(r.a, r.b), max(r.a, r.b)) for r in links.collect()} == {("c", 0, 1), ("c", 0, 2)}
+
+
+def test_commands(spark, tmp_path, capsys):
+    from paideia import commands
+
+    (tmp_path / "g.json").write_text('{"nodes": [{"id": "a", "label": "vectors", "kind": "concept", "properties": {"difficulty": 0.2}, "sources": [{"doc_id": "d", "chunk_id": "c", "title": "t", "quote": "an arrow"}]}, {"id": "b", "label": "force", "kind": "concept"}], "edges": [{"source_id": "b", "target_id": "a", "relation_type": "REQUIRES"}]}')
+    g, profile = str(tmp_path / "g.json"), str(tmp_path / "p")
+    run = lambda name, *given: (commands.COMMANDS[name](spark, **commands.arguments(commands.COMMANDS[name], list(given))), capsys.readouterr().out)[1]
+    assert len(commands.COMMANDS) == 27 and '"found":true' in run("node", "--graph", g, "--query", "vectors", "--fields", "id, sources")
+    assert '"an arrow"' in run("retrieve", "--graph", g, "--query", "vectors")
+    out = run("update-learner", "--graph", g, "--profile", profile, "--json-text", '{"node_evaluations": [{"node": "vectors", "correct": true, "quality": 5}]}')
+    assert '"node_id": "a"' in out and '"mastered"' not in out
+    assert '"ready": [' in run("zpd", "--graph", g, "--profile", profile) and '"id":"a"' in run("mirror", "--graph", g, "--profile", profile)
+    assert '"top_zpd_candidate"' in run("goal-path", "--graph", g, "--profile", profile)
+    (tmp_path / "d.md").write_text("# Title\n\n" + "words of a text. " * 40)
+    assert '"sections": 1' in run("parse-markdown", "--path", str(tmp_path / "d.md"), "--out", str(tmp_path / "parsed"))
+    files.write_chunks(spark.read.json(str(tmp_path / "parsed/graph_chunks")), str(tmp_path / "again"))
+    assert files.read_chunks(spark, str(tmp_path / "again")).count() == 1
+    run("memory-update", "--memory", str(tmp_path / "m"), "--json-text", '{"recent_notes": ["x"]}')
+    assert '"x"' in run("memory-update", "--memory", str(tmp_path / "m"), "--json-text", '{"recent_notes": ["y"]}')
+    with pytest.raises(SystemExit):
+        commands.arguments(commands.COMMANDS["zpd"], ["--nothing", "1"])
