@@ -12,7 +12,7 @@ Equal texts are one class before anything is compared. Coordinates are banded; t
 and a pair is a link only if the similarity of the shingles themselves reaches the threshold. With 20 bands of 4, a pair
 at 0.8 shares no band with a probability of 3 in 100,000. Shingles are compared by 32 bits of their hashes: of two texts
 of n and m shingles, about n m / 2 ** 32 unlike ones count as alike, which is less than one for texts below 65,000 words.
-Buckets of up to ``SMALL`` members compare all; in larger ones, each member is compared with the lowest node, and those
+Buckets of up to ``SMALL`` members compare all; in larger ones, each member is compared with one central text, and those
 that this doesn't link meet again in buckets of two bands at most five apart (any four common bands hold such two).
 What is left is exact: in each large bucket whose members are of several classes by then, those outside the
 most common class are queries against all members. Both sides are dealt to blocks of bounded size by hash; a
@@ -245,17 +245,28 @@ def _links(pairs: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
 
 
 def _buckets(rows: DataFrame) -> DataFrame:
-    """key, rep, n, least of the rows (key, rep) whose bucket has several members."""
+    """key, rep, n, least of the rows (key, rep) whose bucket has several members.
+
+    ``least`` is what a large bucket's members are compared with first: the one that is in most large buckets (of a family
+    of near copies, the text that they were made from), the lowest of such.
+    """
     sizes = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least")).where("n > 1"), "buckets")
-    return written(maybe_among(rows, "key", sizes, "key").join(sizes, "key"), "members")
+    members = written(maybe_among(rows, "key", sizes, "key").join(sizes, "key"), "members")
+    large = members.where(F.col("n") > SMALL).select("key", "rep")
+    if large.isEmpty():
+        return members
+    shared = large.groupBy("rep").agg(F.count(F.lit(1)).alias("shared"))
+    centres = large.join(shared, "rep").groupBy("key").agg(F.max_by("rep", F.struct("shared", -F.col("rep"))).alias("centre"))
+    chosen = members.join(centres, "key", "left").select("key", "rep", "n", F.coalesce("centre", "least").alias("least"))
+    return written(chosen, "centred")
 
 
 def _pairs(members: DataFrame) -> DataFrame:
-    """Pairs to compare: all of small buckets, each with the lowest id in large ones."""
+    """Pairs to compare: all of small buckets, each with the centre in large ones."""
     # The filter bounds the lists: at most SMALL ids each.
     few = members.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("rep")).alias("m"))
     inside = few.select(F.posexplode("m").alias("i", "a"), "m").select("a", F.explode(F.expr("slice(m, i + 2, size(m))")).alias("b"))
-    stars = members.where((F.col("n") > SMALL) & (F.col("rep") > F.col("least"))).select(F.col("least").alias("a"), F.col("rep").alias("b"))
+    stars = members.where((F.col("n") > SMALL) & (F.col("rep") != F.col("least"))).select(F.col("least").alias("a"), F.col("rep").alias("b"))
     return inside.unionByName(stars).distinct()
 
 
@@ -408,8 +419,8 @@ def _classes(docs: DataFrame, threshold: float, words: int, bands: int, rows: in
     links = _verified(tried, reps, keyed, words, threshold)
     large = members.where(F.col("n") > SMALL)
     if not large.isEmpty():
-        # Members of large buckets that aren't like the lowest one meet again where one of the next NEXT bands agrees, too.
-        rest = large.where(F.col("rep") > F.col("least")).join(links.select(F.col("a").alias("least"), F.col("b").alias("rep")), ["least", "rep"], "left_anti")
+        # Members of large buckets that aren't like their centre meet again where one of the next NEXT bands agrees, too.
+        rest = large.where(F.col("rep") != F.col("least")).join(links.select(F.col("a").alias("least"), F.col("b").alias("rep")), ["least", "rep"], "left_anti")
         at = F.array_position("bands", F.col("key")).cast("int") - 1
         again = rest.join(filled, "rep").withColumn("_at", at).select("rep", F.explode(F.array(*[F.xxhash64("key", F.get("bands", (F.col("_at") + d) % bands)) for d in range(1, NEXT + 1)])).alias("key"))
         more = written(_pairs(_buckets(again)).join(tried, ["a", "b"], "left_anti"), "pairs")
