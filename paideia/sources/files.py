@@ -371,7 +371,7 @@ def mistakes_of(body):
     def told(key: str):
         value = F.get_json_object(body, f"$.{key}")
         kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(body), f"$.{key}", "variant"))
-        items = F.filter(F.transform(F.from_json(value, "array<string>"), F.trim), lambda t: t != "")
+        items = F.filter(F.transform(F.from_json(value, "array<string>"), lambda t: F.trim(t)), lambda t: t != "")
         return F.when(kind == "STRING", F.when(value != "", F.array(value)).otherwise(none)).when(kind.startswith("ARRAY"), items).otherwise(none)
 
     return F.concat(*[F.coalesce(told(k), none) for k in MISTAKE_KEYS])
