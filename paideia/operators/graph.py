@@ -98,25 +98,49 @@ def nearest_first() -> list[Column]:
     return [F.col("depth"), F.col("direction"), F.col("label"), F.col("id"), F.col("from_id"), F.col("relation")]
 
 
-def first_principles(nodes: DataFrame, edges: DataFrame, target: str, max_paths: int = 3) -> DataFrame:
-    """Paths from a node without prerequisites to ``target``, shortest first; a cycle ends a path with its repeated node."""
-    pairs = _saved(requires(edges, nodes))
-    paths = nodes.where(F.col("id") == target).select(F.array("id").alias("path"), F.lit(False).alias("done"))
-    step = pairs.select(F.col("id").alias("head"), "needs")
+def _by_labels(labels: Column, ways: Column) -> Column:
+    """Sorts as ``labels`` with each of them repeated ``ways`` times would, without repeating them.
+
+    Runs of equal labels (label, count) sort by label; of equal ones, the shorter run is first unless a higher label follows it.
+    """
+
+    def add(acc, x):
+        last = F.try_element_at(acc, F.lit(-1))
+        longer = F.concat(F.slice(acc, F.lit(1), F.greatest(F.lit(0), F.size(acc) - 1)), F.array(F.struct(x.alias("label"), (last["n"] + 1).alias("n"))))
+        return F.when((F.size(acc) > 0) & last["label"].eqNullSafe(x), longer).otherwise(F.concat(acc, F.array(F.struct(x.alias("label"), F.lit(1).cast("long").alias("n")))))
+
+    runs = F.aggregate(labels, F.array().cast("array<struct<label:string,n:bigint>>"), add)
+
+    def key(r, i):
+        up = F.coalesce(F.try_element_at(runs, i + 2)["label"] > r["label"], F.lit(False))
+        return F.struct(r["label"].alias("label"), up.alias("up"), (r["n"] * F.when(up, -ways).otherwise(ways)).alias("n"))
+
+    return F.transform(runs, key)
+
+
+def first_principles(nodes: DataFrame, edges: DataFrame, target: str, max_paths: int = 3, every_way: bool = False) -> DataFrame:
+    """Paths from a node without prerequisites to ``target``, shortest first; a cycle ends a path with its repeated node.
+
+    Parallel edges make one path; with ``every_way`` its length and minutes count once for each way through them.
+    """
+    n = F.count(F.lit(1)) if every_way else F.lit(1).cast("long")
+    pairs = _saved(requires(edges, nodes).groupBy("id", "needs").agg(n.alias("n")))
+    paths = nodes.where(F.col("id") == target).groupBy("id").agg(n.alias("ways")).select(F.array("id").alias("path"), "ways", F.lit(False).alias("done"))
+    step = pairs.select(F.col("id").alias("head"), "needs", "n")
     complete = None
     while True:
         grown = paths.withColumn("head", F.col("path")[0]).join(step, "head", "left")
-        ended = grown.where(F.col("needs").isNull() | F.col("done")).select("path").distinct()
+        ended = grown.where(F.col("needs").isNull() | F.col("done")).select("path", "ways").distinct()
         complete = ended if complete is None else complete.unionByName(ended)
         onward = grown.where(F.col("needs").isNotNull() & ~F.col("done"))
-        paths = _saved(onward.select(F.concat(F.array("needs"), "path").alias("path"), F.array_contains("path", F.col("needs")).alias("done")))
+        paths = _saved(onward.select(F.concat(F.array("needs"), "path").alias("path"), (F.col("ways") * F.col("n")).alias("ways"), F.array_contains("path", F.col("needs")).alias("done")))
         if paths.isEmpty():
             break
-    numbered = complete.select(F.array_join("path", ">").alias("nodes"), F.posexplode("path").alias("at", "id"))
+    numbered = complete.select(F.array_join("path", ">").alias("nodes"), "ways", F.posexplode("path").alias("at", "id"))
     minutes = A.or_default(F.col("minutes").cast("double"), 15.0).cast("int")
     facts = numbered.join(nodes.select("id", "label", minutes.alias("minutes")), "id")
-    rows = facts.groupBy("nodes").agg(F.count(F.lit(1)).alias("length"), F.sum("minutes").alias("minutes"), F.transform(F.array_sort(F.collect_list(F.struct("at", "label"))), lambda x: x["label"]).alias("labels"))
-    rank = F.row_number().over(Window.orderBy("length", "minutes", "labels", "nodes"))
+    rows = facts.groupBy("nodes", "ways").agg(F.sum("ways").alias("length"), F.sum(F.col("minutes") * F.col("ways")).alias("minutes"), F.transform(F.array_sort(F.collect_list(F.struct("at", "label"))), lambda x: x["label"]).alias("labels"))
+    rank = F.row_number().over(Window.orderBy("length", "minutes", _by_labels(F.col("labels"), F.col("ways")), "nodes"))
     return rows.withColumn("rank", rank).where(F.col("rank") <= max(1, max_paths)).select("rank", "nodes", "length", "minutes")
 
 

@@ -1,3 +1,4 @@
+import itertools
 import os
 from datetime import datetime, timedelta
 
@@ -145,6 +146,25 @@ def test_first_principles_of_a_deep_graph(spark):
     assert [(r.nodes, r.length) for r in graph.first_principles(nodes, edges, ids[-1]).collect()] == [(">".join(ids), 67)]
 
 
+@pytest.mark.parametrize("copies", [1, 2])
+def test_first_principles_counts_parallel_edges_as_its_sql_does(spark, tmp_path, copies):
+    # n3 requires n1 by two edges, and is the cheapest way: its path was second here, where the SQL counts it twice and last.
+    table = spark.range(200).selectExpr("id AS p_partkey", "concat('part ', lpad(id, 3, '0')) AS p_name", "'TIN' AS p_type", "CAST(IF(id = 3, 1, 20) AS INT) AS p_size")
+    table.crossJoin(spark.range(copies).select()).write.parquet(f"{tmp_path}/part.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{tmp_path}/part.parquet/*.parquet')")
+    wanted = db.execute(Q.ORACLES["first_principles"]).fetchall()
+    assert sorted(map(tuple, Q.QUERIES["first_principles"](spark, str(tmp_path)).collect())) == sorted(wanted)
+
+
+def test_ways_sort_as_repeated_labels(spark):
+    lists = [(list(x), w) for w in (1, 2, 3) for n in (1, 2, 3, 4) for x in itertools.product("abc", repeat=n)]
+    rows = spark.createDataFrame(lists, "labels array<string>, ways long")
+    got = [(r.labels, r.ways) for r in rows.orderBy(graph._by_labels(F.col("labels"), F.col("ways"))).collect()]
+    repeated = [[x for x in labels for _ in range(ways)] for labels, ways in got]
+    assert repeated == sorted(repeated) and len(got) == len(lists)
+
+
 def test_resolution(spark):
     labels = spark.createDataFrame([("The Force",), ("force field",), ("moto",), ("moto armonico",), ("ab",), ("a b c d e f g h",), ("h g f e d c b a x",), ("λ",)], "label string")
     norms = [r.n for r in labels.select(L.normalize_label(F.col("label")).alias("n")).collect()]
