@@ -5,7 +5,7 @@ left halves in the linked list of parts. Three levels of bitmaps say which bucke
 next rank is three find-first-set steps away, whatever the length of the piece. Positions whose pair
 has changed since they were queued are stale and are skipped. Encoding a piece of n bytes takes
 O(n) queue steps (a bucket is sorted once, when it is drained). The distinct pieces of a stretch of text
-are encoded together, in one list and one queue.
+are encoded together, some thousands in one list and one queue, and decoded.
 
 Results for odd input: null text counts as empty and has no ids; an empty table gives an empty
 table; texts of any length are taken whole; rows that share an id are encoded each on its own.
@@ -17,6 +17,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ from .common import in_arrow, text_of
 
 #: Distinct pieces that a task remembers, and the longest piece that it does.
 CACHE_PIECES, CACHE_LENGTH = 250_000, 48
+#: Pieces that share a queue: more share its steps, but leave the processor's caches.
+TOGETHER = 4000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -44,18 +47,18 @@ class RankQueue:
 
     __slots__ = ("buckets", "low", "mid", "top")
 
-    def __init__(self) -> None:
-        self.buckets: dict[int, list[int]] = {}
-        self.low: dict[int, int] = {}
-        self.mid: dict[int, int] = {}
+    def __init__(self, ranks: int) -> None:
+        self.buckets: list[list[int] | None] = [None] * ranks
+        self.low = [0] * ((ranks >> 6) + 1)
+        self.mid = [0] * ((ranks >> 12) + 1)
         self.top = 0
 
     def open(self, rank: int, positions: list[int]) -> None:
         """A bucket for a rank that has none."""
         self.buckets[rank] = positions
         word, block = rank >> 6, rank >> 12
-        self.low[word] = self.low.get(word, 0) | 1 << (rank & 63)
-        self.mid[block] = self.mid.get(block, 0) | 1 << (word & 63)
+        self.low[word] |= 1 << (rank & 63)
+        self.mid[block] |= 1 << (word & 63)
         self.top |= 1 << block
 
     def drain(self) -> tuple[int, list[int]]:
@@ -72,7 +75,8 @@ class RankQueue:
             self.mid[block] = mid
             if not mid:
                 self.top = top & (top - 1)
-        return rank, self.buckets.pop(rank)
+        positions, self.buckets[rank] = self.buckets[rank], None
+        return rank, positions
 
 
 class Merges:
@@ -80,14 +84,20 @@ class Merges:
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
-        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)])
-        #: For two parts' ids, the rank of the token that they join to.
-        self.joined: dict[int, int] = {}
+        self.size = max(ranks.values()) + 1
+        self.byte_ids = [ranks[bytes([b])] for b in range(256)]
+        self.numbers = [*range(self.size), -1]
+        #: For a part's id, by the id of the part before or after it, the rank of the token that they join to.
+        none: dict[int, int] = {}
+        self.before, self.after = [none] * self.size, [none] * self.size
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
-                    self.joined[left << 24 | right] = rank
+                    for own, part, other in ((self.after, left, right), (self.before, right, left)):
+                        if own[part] is none:
+                            own[part] = {}
+                        own[part][other] = rank
         #: The same for two bytes; -1 where there is none.
         self.two = np.full((256, 256), -1)
         for token, rank in ranks.items():
@@ -100,9 +110,9 @@ class Merges:
         All pieces share one linked list (with a break after each) and one queue: what a piece merges
         depends on its own ranks alone, so that the order among pieces is free.
         """
-        whole = [self.ranks.get(p) for p in pieces]
-        rest = [p for p, w in zip(pieces, whole) if w is None]
-        found = iter(self._merge([p for p in rest if p]))
+        whole = list(map(self.ranks.get, pieces))
+        rest = [p for p, w in zip(pieces, whole) if w is None and p]
+        found = chain.from_iterable(self._merge(rest[k : k + TOGETHER]) for k in range(0, len(rest), TOGETHER))
         return [[w] if w is not None else next(found) if p else [] for p, w in zip(pieces, whole)]
 
     def _merge(self, pieces: list[bytes]) -> list[list[int]]:
@@ -110,59 +120,55 @@ class Merges:
             return []
         raw = np.frombuffer(b"".join(pieces), np.uint8)
         ends = np.cumsum([len(p) for p in pieces])
-        wanted = np.full(len(raw), -1)
-        wanted[:-1] = self.two[raw[:-1], raw[1:]]
+        starts, end = np.append(0, ends[:-1]), len(raw)  # at ``end`` is a part that joins none: what comes before and after each piece
+        wanted = np.full(end + 1, -1)
+        wanted[: end - 1] = self.two[raw[:-1], raw[1:]]
         wanted[ends - 1] = -1
-        following = np.arange(1, len(raw) + 1)
-        following[ends - 1] = -1
-        preceding = np.arange(-1, len(raw) - 1)
-        preceding[np.append(0, ends[:-1])] = -1
-        queue = RankQueue()
-        buckets, start_bucket, joined = queue.buckets, queue.open, self.joined.get
+        queue = RankQueue(self.size)
+        buckets, start_bucket, before, after = queue.buckets, queue.open, self.before, self.after
+        # Lists share their numbers, so that the loop's memory stays near.
+        places = list(range(end + 1))
         at = np.flatnonzero(wanted >= 0)
         at = at[np.argsort(wanted[at], kind="stable")]
-        cuts = np.flatnonzero(np.diff(wanted[at])) + 1
-        for group in np.split(at, cuts) if len(at) else ():
-            start_bucket(int(wanted[group[0]]), group.tolist())
-        want, nxt, prv, ids = wanted.tolist(), following.tolist(), preceding.tolist(), self.byte_ids[raw].tolist()
+        firsts = np.flatnonzero(np.diff(wanted[at], prepend=-1))
+        own, cuts = list(map(places.__getitem__, at.tolist())), [*firsts.tolist(), len(at)]
+        for rank, low, high in zip(wanted[at[firsts]].tolist(), cuts, cuts[1:]):
+            start_bucket(rank, own[low:high])
+        want = list(map(self.numbers.__getitem__, wanted.tolist()))
+        nxt, prv = [*places[1:], end], [end, *places[:-1]]
+        for a, b in zip(starts.tolist(), ends.tolist()):
+            prv[a] = nxt[b - 1] = end
+        ids = [*map(self.byte_ids.__getitem__, raw.tobytes()), -1]
         while queue.top:
             rank, positions = queue.drain()
             if len(positions) > 1:
                 positions.sort()
+            joins_after, joins_before = after[rank].get, before[rank].get
             for i in positions:
                 if want[i] != rank:  # stale
                     continue
                 j = nxt[i]
                 k = nxt[j]
-                ids[i], nxt[i], want[i], want[j] = rank, k, -1, -1
-                if k >= 0:
-                    prv[k] = i
-                    r = joined(rank << 24 | ids[k])
-                    if r is not None:
-                        want[i] = r
-                        if r in buckets:
-                            buckets[r].append(i)
-                        else:
-                            start_bucket(r, [i])
+                ids[i], nxt[i], want[j], prv[k] = rank, k, -2, i
+                r = want[i] = joins_after(ids[k], -1)
+                if r >= 0:
+                    bucket = buckets[r]
+                    if bucket is None:
+                        start_bucket(r, [i])
+                    else:
+                        bucket.append(i)
                 h = prv[i]
-                if h >= 0:
-                    r = joined(ids[h] << 24 | rank)
-                    if r is None:
-                        want[h] = -1
+                r = want[h] = joins_before(ids[h], -1)
+                if r >= 0:
+                    bucket = buckets[r]
+                    if bucket is None:
+                        start_bucket(r, [h])
                     else:
-                        want[h] = r
-                        if r in buckets:
-                            buckets[r].append(h)
-                        else:
-                            start_bucket(r, [h])
-        out = []
-        for i in [0, *ends[:-1].tolist()]:
-            own = []
-            while i >= 0:
-                own.append(ids[i])
-                i = nxt[i]
-            out.append(own)
-        return out
+                        bucket.append(h)
+        stays = np.array(want[:end]) != -2
+        left = np.array(ids[:end])[stays].tolist()
+        cuts = [0, *np.cumsum(stays)[ends - 1].tolist()]
+        return [left[low:high] for low, high in zip(cuts, cuts[1:])]
 
 
 class Codec:
@@ -173,8 +179,11 @@ class Codec:
 
         self.merges = Merges(load_ranks(path))
         self.tokens = {rank: token for token, rank in self.merges.ranks.items()}
+        self.names = {rank: str(rank) for rank in self.tokens}
         self.split = regex.compile(pattern).findall
-        self.pieces: dict[str, tuple[int, str, bytes]] = {}
+        #: Of each piece that is remembered, its ids as text; of those whose ids stand for other bytes than its own, these bytes.
+        self.ids: dict[str, str] = {}
+        self.other: dict[str, bytes] = {}
 
     def encode(self, text: str) -> list[int]:
         pieces = self.split(text)
@@ -188,19 +197,26 @@ class Codec:
     def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """For each text: number of ids, SHA-256 of the ids as text, SHA-256 of the decoded bytes."""
         split = [self.split(t) for t in texts]
-        known = self.pieces
-        new = list({p for pieces in split for p in pieces if p not in known})
-        entries = {p: (len(ids), " ".join(map(str, ids)), self.decode(ids)) for p, ids in zip(new, self.merges.encode([p.encode() for p in new]))}
+        new = list(set().union(*split) - self.ids.keys())
+        raw = [p.encode() for p in new]
+        found = self.merges.encode(raw)
+        name = self.names.__getitem__
+        self.ids.update(zip(new, [" ".join(map(name, ids)) for ids in found]))
+        self.other.update((p, back) for p, own, back in zip(new, raw, map(self.decode, found)) if own != back)
+        ids_of = self.ids.__getitem__
         out = []
         for pieces in split:
             if not pieces:
                 out.append((0, _EMPTY, _EMPTY))
                 continue
-            counts, ids, raw = zip(*[known.get(p) or entries[p] for p in pieces])
-            out.append((sum(counts), hashlib.sha256(" ".join(ids).encode()).hexdigest(), hashlib.sha256(b"".join(raw)).hexdigest()))
-        if len(known) > CACHE_PIECES:
-            known.clear()
-        known.update((p, e) for p, e in entries.items() if len(p) <= CACHE_LENGTH)
+            ids = " ".join(map(ids_of, pieces))
+            back = "".join(pieces).encode() if not self.other else b"".join([self.other[p] if p in self.other else p.encode() for p in pieces])
+            out.append((ids.count(" ") + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back).hexdigest()))
+        if len(self.ids) - len(new) > CACHE_PIECES:
+            self.ids = {p: self.ids[p] for p in new}
+        for p in new:
+            if len(p) > CACHE_LENGTH:
+                del self.ids[p]
         return out
 
 
@@ -258,6 +274,6 @@ def encoding_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             n, ids, raw = zip(*rows) if rows else ((), (), ())
             arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(raw, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        own.pieces.clear()  # the worker may serve other operators next
+        own.ids.clear()  # the worker may serve other operators next
 
     return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).transform(in_arrow, run, SCHEMA)

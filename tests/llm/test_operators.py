@@ -3,6 +3,7 @@ import hashlib
 import itertools
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -98,6 +99,34 @@ def test_bpe(spark, odd, none):
     assert bpe.encoding_digests(none, path, pattern).count() == 0
 
 
+def test_bpe_many_pieces_share_little_memory(monkeypatch):
+    """The lists of a queue don't grow with the text: memory beyond the caches is what made merges slow."""
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    own, other, rng = bpe.Codec(path, pattern), tik(), random.Random(8)
+    pieces = sorted({" " + "".join(rng.choice(["an", "th", "é", "heit", "q", "ou", "z"]) for _ in range(rng.randint(3, 9))) for _ in range(60_000)})
+    raw = [p.encode() for p in pieces]
+    tracemalloc.start()
+    try:
+        ids = own.merges.encode(raw)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(pieces) > 40_000 and peak < 50e6, peak
+    assert ids == [other.encode_ordinary(p) for p in pieces]
+    texts = ["".join(pieces[k : k + 3000]) + " " + "x1" * (k % 700) for k in range(0, len(pieces), 3000)] + ["", " ", "\n"]
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 5000)
+    got = [row for k in range(0, len(texts), 2) for row in own.digests(texts[k : k + 2])]
+    assert len(own.ids) < len(pieces)
+    for text, row in zip(texts, got, strict=True):
+        ids = other.encode_ordinary(text)
+        assert row == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+    # Ids that stand for other bytes than the text's show in the digest.
+    own.ids.clear()
+    token = own.merges.ranks[b" an"]
+    own.tokens = own.tokens | {token: b" AN"}
+    assert own.digests([" an th"])[0][2] == hashlib.sha256(b" AN th").hexdigest()
+
+
 def test_token_cache(spark, odd, none, tmp_path):
     path, cache = public_tokenizers.path("byte_bpe_50k.json"), str(tmp_path / "cache")
     rows = token_cache.token_counts(odd, path, cache).collect()
